@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import tokens
+from glossmill.llm import packing, tokens
 from glossmill.sources.tables import table
 
 
@@ -22,9 +22,33 @@ def p5_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text"))
+    return packing.pack(sizes, packing.capacities_of(table(spark, folder, "size_specs")))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return (
+        p6_containers(spark, folder)
+        .groupBy("capacity", "container")
+        .agg(F.sum("n_tokens").alias("fill"), F.count("*").alias("pieces"))
+        .groupBy("capacity")
+        .agg(
+            F.count("*").alias("containers"),
+            F.sum("pieces").alias("pieces"),
+            F.sum("fill").alias("tokens"),
+            F.max("fill").alias("fullest"),
+            F.round(F.sum("fill") / (F.count("*") * F.first("capacity")), 6).alias("fill_share"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_ids": p5_ids,
     "p5_round_trip": p5_round_trip,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
 }
 
 SQL: dict[str, str] = {
