@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import packing, tokens
+from glossmill.llm import packing, pieces, tokens
 from glossmill.sources.tables import table
 
 
+#: The piece capacity and overlap of size_specs, in characters.
+PIECE, OVERLAP = 1200, 120
+
+
+def _split(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    snapshots = table(spark, folder, "snapshots", "passage_id", "archive_id", "path", "start_offset", "end_offset", "text", "created_at")
+    sections = table(spark, folder, "sections", "archive_id", "path", "end_offset")
+    return pieces.split_snapshots(snapshots, sections, limit=PIECE, overlap=OVERLAP, with_text=with_text)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    runs = pieces.longest_runs(_split(spark, folder, with_text=False)).filter("NOT startswith(item, 'null ')")
+    return runs.select(F.col("item").alias("passage_id"), F.when(F.col("longest_run") > PIECE, "hard").otherwise("soft").alias("cut"))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.pieces_of(_split(spark, folder, with_text=True)).withColumnRenamed("item", "passage_id")
+
+
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -45,6 +64,8 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_ids": p5_ids,
     "p5_round_trip": p5_round_trip,
     "p6_containers": p6_containers,
@@ -52,6 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p4_found": r"""
+        SELECT passage_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n.!?。！？]'), lambda x: length(x))) > 1200
+                                THEN 'hard' ELSE 'soft' END AS cut
+        FROM (SELECT passage_id, arg_max(text, (created_at, text)) AS text FROM snapshots
+              WHERE length(text) > 1200 AND passage_id IS NOT NULL GROUP BY passage_id)""",
     "p5_round_trip": """
         SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
         FROM documents""",
