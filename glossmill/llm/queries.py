@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import packing, pieces, tokens
+from glossmill.llm import packing, pieces, residue, tokens
 from glossmill.sources.tables import table
 
 
@@ -63,6 +63,21 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_kind(table(spark, folder, "documents", "doc_id", "text")).filter("kind IS NOT NULL")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_kinds(spark, folder).select("doc_id")
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of the documents, a language."""
+    documents = table(spark, folder, "documents", "doc_id", "text", "lang")
+    kept = documents.join(residue.residue_kind(documents).filter("kind IS NULL").select("doc_id"), "doc_id", "left_semi")
+    return kept.groupBy(F.lower(F.substring_index("lang", "-", 1)).alias("lang")).agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_round_trip": p5_round_trip,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_kinds": p7_kinds,
+    "p7_kept": p7_kept,
 }
 
 SQL: dict[str, str] = {
