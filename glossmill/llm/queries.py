@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import packing, pieces, residue, tokens
+from glossmill.llm import packing, pairs, pieces, residue, tokens
 from glossmill.sources.tables import table
 
 
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "turn_records", "turn_id", "input_text", "answer_text", "logged_at")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(_turns(spark, folder))
+
+
+def p3_shortened(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers that begin a longer answer, by their hash, with the length of both texts' common part."""
+    answers = _turns(spark, folder).filter("answer_text <> ''").select(F.md5("answer_text").alias("answer_key"), F.col("answer_text").alias("answer")).distinct()
+    short = pairs.next_longer(answers).select("answer_key")
+    return answers.join(short, "answer_key", "left_semi").select("answer_key", F.length("answer").cast("long").alias("n_chars"))
+
+
 #: The piece capacity and overlap of size_specs, in characters.
 PIECE, OVERLAP = 1200, 120
 
@@ -79,6 +94,8 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_shortened": p3_shortened,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_ids": p5_ids,
@@ -91,6 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "p3_shortened": """
+        WITH a AS (SELECT DISTINCT answer_text AS t FROM turn_records WHERE answer_text <> ''),
+             n AS (SELECT t, lead(t) OVER (ORDER BY encode(t)) AS next FROM a)
+        SELECT md5(t) AS answer_key, CAST(length(t) AS BIGINT) AS n_chars FROM n WHERE starts_with(next, t)""",
     "p4_found": r"""
         SELECT passage_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n.!?。！？]'), lambda x: length(x))) > 1200
                                 THEN 'hard' ELSE 'soft' END AS cut
