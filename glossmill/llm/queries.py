@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import packing, pairs, pieces, residue, tokens
+from glossmill.llm import lines, packing, pairs, pieces, residue, tokens
 from glossmill.sources.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, folder, "snapshots", "archive_id", "passage_id", "text")).select("passage_id", "line_no")
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    snapshots = table(spark, folder, "snapshots", "archive_id", "passage_id", "text", "created_at")
+    return lines.without_repeated(snapshots).select("passage_id", "created_at", "text")
+
+
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "turn_records", "turn_id", "input_text", "answer_text", "logged_at")
 
@@ -94,6 +103,8 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_shortened": p3_shortened,
     "p4_found": p4_found,
@@ -107,7 +118,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_kept": p7_kept,
 }
 
+_LINES = r"""
+        l AS (SELECT archive_id, passage_id, created_at, text, u.nr AS nr, u.line AS line,
+                     regexp_replace(lower(u.line), '[^\p{L}]', '', 'g') AS letters
+              FROM snapshots, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line,
+                                              unnest(range(1, len(string_split(text, chr(10))) + 1)) AS nr) u),
+        f AS (SELECT archive_id, letters FROM l WHERE letters <> '' AND archive_id IS NOT NULL AND passage_id IS NOT NULL
+              GROUP BY ALL HAVING count(DISTINCT passage_id) >= 10)"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"""
+        WITH {_LINES}
+        SELECT DISTINCT passage_id, CAST(nr AS INTEGER) AS line_no FROM l SEMI JOIN f USING (archive_id, letters) WHERE passage_id IS NOT NULL""",
+    "p2_clean": f"""
+        WITH {_LINES},
+             g AS (SELECT archive_id, passage_id, list(DISTINCT nr) AS dropped FROM l SEMI JOIN f USING (archive_id, letters) GROUP BY ALL)
+        SELECT s.passage_id, s.created_at,
+               CASE WHEN g.dropped IS NULL THEN s.text ELSE array_to_string(list_filter(string_split(s.text, chr(10)),
+                    lambda x, i: NOT list_contains(g.dropped, i)), chr(10)) END AS text
+        FROM snapshots s LEFT JOIN g USING (archive_id, passage_id)""",
     "p3_shortened": """
         WITH a AS (SELECT DISTINCT answer_text AS t FROM turn_records WHERE answer_text <> ''),
              n AS (SELECT t, lead(t) OVER (ORDER BY encode(t)) AS next FROM a)
