@@ -7,10 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import lines, packing, pairs, pieces, residue, tokens
+from glossmill.llm import lines, neighbours, packing, pairs, pieces, residue, tokens
 from glossmill.sources.tables import table
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "dense_vectors", "vec_id", "manifest_id", "row_no", "vec")
+    manifests = table(spark, folder, "dense_manifests", "manifest_id", "embedding_model_sha256", "dim")
+    return neighbours.usable_vectors(vectors, manifests)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neighbours.nearest(_vectors(spark, folder)).select("vec_id", F.inline("near")).filter(F.col("far") <= -0.97)
+    return pairs.select(F.least("vec_id", "id").alias("vec_id_a"), F.greatest("vec_id", "id").alias("vec_id_b")).distinct()
+
+
+def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(_vectors(spark, folder)).select("vec_id", F.posexplode("near").alias("place", "n"))
+    return near.select("vec_id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("other"), F.round(-F.col("n.far"), 6).alias("cosine"))
+
+
+def p1_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """The most similar vectors of those whose id is divisible by 50, against all, by comparing them all."""
+    near = neighbours.exact_nearest(_vectors(spark, folder)).select("vec_id", F.posexplode("near").alias("place", "n"))
+    return near.select("vec_id", (F.col("place") + 1).alias("place"), F.round(-F.col("n.far"), 4).alias("cosine"))
+
+
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the exact most similar vectors of that query set which the curves find, by model."""
+    vectors = _vectors(spark, folder)
+    exact = neighbours.exact_nearest(vectors).select("model", "vec_id", F.col("near").alias("exact"))
+    both = exact.join(neighbours.nearest(vectors), ["model", "vec_id"])
+    least = F.element_at("exact", -1)["far"] + 1e-9  # equally similar ones are as good
+    hits = F.size(F.filter("near", lambda x: x["far"] <= least))
+    return both.groupBy("model").agg(F.count("*").alias("queries"), F.round(F.sum(F.least(hits, F.size("exact"))) / F.sum(F.size("exact")), 4).alias("recall"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_lines(table(spark, folder, "snapshots", "archive_id", "passage_id", "text")).select("passage_id", "line_no")
 
@@ -103,6 +135,10 @@ def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_nearest": p1_nearest,
+    "p1_exact": p1_exact,
+    "p1_recall": p1_recall,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
@@ -126,7 +162,24 @@ _LINES = r"""
         f AS (SELECT archive_id, letters FROM l WHERE letters <> '' AND archive_id IS NOT NULL AND passage_id IS NOT NULL
               GROUP BY ALL HAVING count(DISTINCT passage_id) >= 10)"""
 
+_USABLE = """
+        m AS (SELECT DISTINCT manifest_id, embedding_model_sha256 AS model, dim FROM dense_manifests WHERE embedding_model_sha256 IS NOT NULL),
+        u AS (SELECT model, vec_id, CAST(arg_min(vec, row_no) AS DOUBLE[]) AS v FROM dense_vectors JOIN m USING (manifest_id)
+              WHERE len(vec) = dim AND len(list_filter(vec, lambda x: NOT isfinite(x) OR x IS NULL)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+              GROUP BY ALL)"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+        WITH {_USABLE},
+             c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id),
+             r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM c)
+        SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE place <= 10 AND s >= 0.97""",
+    "p1_exact": f"""
+        WITH {_USABLE},
+             c AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s, b.vec_id AS o
+                   FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+        SELECT vec_id, CAST(place AS INTEGER) AS place, round(s, 4) AS cosine
+        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) AS place FROM c) WHERE place <= 10""",
     "p2_found": f"""
         WITH {_LINES}
         SELECT DISTINCT passage_id, CAST(nr AS INTEGER) AS line_no FROM l SEMI JOIN f USING (archive_id, letters) WHERE passage_id IS NOT NULL""",
