@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("text_queries",)
+
+
+def _modules():
+    return [import_module(f"glossmill.plans.{name}") for name in MODULES]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in _modules() for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for module in _modules() for name, text in module.SQL.items()}
