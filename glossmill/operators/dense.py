@@ -39,9 +39,9 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, *, k: int, key: str = "ve
 
     kind = queries.schema[key].dataType.simpleString()
     found = left.groupBy("dim", "block", "part").cogroup(right.groupBy("dim", "block", "part")).applyInPandas(run, f"q {kind}, id {kind}, cosine double")
-    nearest = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 6)).alias("far"), "id"))), 1, k)
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("cosine", 6)).alias("far"), "id", "cosine"))), 1, k)
     listed = found.groupBy("q").agg(nearest.alias("near"))
-    return listed.select(F.col("q").alias(key), F.posexplode("near").alias("at", "n")).select(key, (F.col("at") + 1).alias("rank"), F.col("n.id").alias("other"), (-F.col("n.far")).alias("cosine"))
+    return listed.select(F.col("q").alias(key), F.posexplode("near").alias("at", "n")).select(key, (F.col("at") + 1).alias("rank"), F.col("n.id").alias("other"), F.col("n.cosine").alias("cosine"))
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:

@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
+from glossmill.session import cut
 
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are ranked, so that the order of summing doesn't matter.
 DIGITS = 6
 
 
+def exploded(df: DataFrame, *keep: str, terms, name: str = "term") -> DataFrame:
+    """A row for each element of a list of terms.
+
+    An outer explode whose null rows are dropped again: a plain one has the optimizer
+    ask for the size of the list first, and the list would be computed twice.
+    """
+    return df.select(*keep, F.explode_outer(terms).alias(name)).filter(F.col(name).isNotNull())
+
+
 def postings(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """(key, term, tf, doc_len): the terms of each text; texts without terms have no rows."""
     listed = docs.select(F.col(key), t.tokens(text).alias("terms")).withColumn("doc_len", F.size("terms"))
-    return listed.select(key, "doc_len", F.explode("terms").alias("term")).groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+    return exploded(listed, key, "doc_len", terms="terms").groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
     """(term, df): in how many texts a term stands; exact, and without a row for each posting where a text repeats it."""
-    return docs.select(F.explode(F.array_distinct(t.tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return exploded(docs, terms=F.array_distinct(t.tokens(text))).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_size(docs: DataFrame, *, text: str = "text") -> tuple[int, float]:
@@ -36,10 +46,10 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, ke
     in some query are built: a text's terms are cut to those before they are counted.
     """
     n, mean = corpus_size(docs, text=text)
-    asked = queries.select(F.col(query), F.explode(t.tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
+    asked = exploded(queries, query, terms=t.tokens(query_text)).groupBy(query, "term").agg(F.count("*").alias("qtf"))
     listed = docs.select(F.col(key), t.tokens(text).alias("terms")).withColumn("doc_len", F.size("terms"))
-    held = listed.select(key, "doc_len", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    held = held.groupBy("term", key, "doc_len").agg(F.count("*").alias("tf"))
+    held = exploded(listed, key, "doc_len", terms="terms").join(asked.select("term").distinct(), "term", "left_semi")
+    held = cut(held.groupBy("term", key, "doc_len").agg(F.count("*").alias("tf")))  # read twice, for df and for the scores
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(0.0), F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(mean)))

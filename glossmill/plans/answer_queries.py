@@ -21,17 +21,17 @@ def _vocabulary(spark, folder):
 
 def title_suggest(spark, folder):
     """Titles that begin like a question term or like that term less up to four letters, by the longest beginning."""
-    asked = questions(spark, folder).select(F.explode(t.tokens("q")).alias("term")).distinct().filter(F.length("term") >= 4)
+    asked = index.exploded(questions(spark, folder), terms=t.tokens("q")).distinct().filter(F.length("term") >= 4)
     heads = asked.select("term", F.explode(F.sequence(F.greatest(F.length("term") - 4, F.lit(3)), F.length("term"))).alias("n"))
     heads = heads.select("term", "n", F.expr("substring(term, 1, n)").alias("head"))
-    titles = documents(spark, folder).filter("title IS NOT NULL").select(F.explode(t.tokens("title")).alias("word")).distinct()
+    titles = index.exploded(documents(spark, folder).filter("title IS NOT NULL"), terms=t.tokens("title"), name="word").distinct()
     prefixes = titles.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3)))).alias("n")).select("word", F.expr("substring(word, 1, n)").alias("head")).distinct()
     found = heads.join(prefixes, "head").groupBy("term", "word").agg(F.max("n").alias("n"))
     return found.groupBy("term").agg(F.max_by("word", F.struct("n", "word")).alias("word"), F.max("n").alias("letters"))
 
 
 def spell_correct(spark, folder):
-    asked = questions(spark, folder).select(F.explode(t.tokens("q")).alias("term")).distinct()
+    asked = index.exploded(questions(spark, folder), terms=t.tokens("q")).distinct()
     vocabulary = _vocabulary(spark, folder)
     return correct.spelling(asked.join(vocabulary, "term", "left_anti"), vocabulary)
 
@@ -54,7 +54,7 @@ def morph_variants(spark, folder):
 
 def morph_expand(spark, folder):
     """Forms of question terms that the documents have three times or more, and the most frequent of them."""
-    asked = questions(spark, folder).select(F.explode(t.tokens("q")).alias("term")).distinct().filter("term RLIKE '^[a-z]+$'")
+    asked = index.exploded(questions(spark, folder), terms=t.tokens("q")).distinct().filter("term RLIKE '^[a-z]+$'")
     forms = asked.select("term", F.explode(correct.word_forms(F.col("term"))).alias("form"))
     held = forms.join(_vocabulary(spark, folder).select(F.col("term").alias("form"), "df"), "form").filter(F.col("df") >= correct.LEAST_DF)
     return held.groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("form")), " ").alias("forms"), F.max_by("form", F.struct("df", "form")).alias("best"))
@@ -84,7 +84,7 @@ def dump_detect(spark, folder):
 
 def research(spark, folder):
     asked = questions(spark, folder).filter(F.col("turn_id") % 50 == 0)
-    docs = table(spark, folder, "documents", "doc_id", "source", "title", "text")
+    docs = documents(spark, folder)
     return pipeline.research(asked, docs, query="turn_id", text="q", key="doc_id", group="source")
 
 

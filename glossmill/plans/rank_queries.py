@@ -50,8 +50,8 @@ def _title_and_text():
 
 def _title_ranks(spark, folder):
     """Documents by how many of the question's terms their title has."""
-    asked = _asked(spark, folder).select("turn_id", F.explode(F.array_distinct(t.tokens("q"))).alias("term"))
-    titled = documents(spark, folder).select("doc_id", F.explode(F.array_distinct(t.tokens("title"))).alias("term"))
+    asked = index.exploded(_asked(spark, folder), "turn_id", terms=F.array_distinct(t.tokens("q")))
+    titled = index.exploded(documents(spark, folder), "doc_id", terms=F.array_distinct(t.tokens("title")))
     hits = asked.join(titled, "term").groupBy("turn_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return index.top(hits, POOL, query="turn_id", key="doc_id")
 
@@ -100,8 +100,8 @@ def rank_mention_penalty(spark, folder):
 def _asked_snapshots(spark, folder):
     """Snapshots by how many of the question's terms their text has, with heading and offset."""
     rows = table(spark, folder, "snapshots", "passage_id", "heading_path", "start_offset", "text").filter("text IS NOT NULL").distinct()
-    asked = _asked(spark, folder).select("turn_id", "q", F.explode(F.array_distinct(t.tokens("q"))).alias("term"))
-    held = rows.select("passage_id", F.explode(F.array_distinct(t.tokens("text"))).alias("term"))
+    asked = index.exploded(_asked(spark, folder), "turn_id", "q", terms=F.array_distinct(t.tokens("q")))
+    held = index.exploded(rows, "passage_id", terms=F.array_distinct(t.tokens("text")))
     hits = asked.join(held, "term").groupBy("turn_id", "q", "passage_id").agg(F.count("*").alias("score"))
     ranked = index.top(hits, POOL, query="turn_id", key="passage_id")
     return ranked.join(rows.select("passage_id", "heading_path", "start_offset"), "passage_id")
@@ -128,7 +128,7 @@ def rarity_order(spark, folder):
 def coordination_rank(spark, folder):
     """Documents by how many different terms of the question they have, then by their rarest term, then id."""
     terms = rarity_order(spark, folder).select("turn_id", "term", "place")
-    held = documents(spark, folder).select("doc_id", F.explode(F.array_distinct(t.tokens("text"))).alias("term"))
+    held = index.exploded(documents(spark, folder), "doc_id", terms=F.array_distinct(t.tokens("text")))
     hits = terms.join(held, "term").groupBy("turn_id", "doc_id").agg(F.count("*").alias("matched"), F.min("place").alias("rarest"))
     order = F.row_number().over(Window.partitionBy("turn_id").orderBy(F.desc("matched"), "rarest", "doc_id"))
     return hits.withColumn("rank", order).filter(F.col("rank") <= 6)
@@ -137,8 +137,8 @@ def coordination_rank(spark, folder):
 def unknown_terms(spark, folder):
     """Question terms that neither the documents nor the snapshots have, by first place."""
     asked = questions(spark, folder).select("turn_id", F.posexplode(t.tokens("q")).alias("at", "term")).groupBy("turn_id", "term").agg(F.min("at").alias("at"))
-    held = documents(spark, folder).select(F.explode(t.tokens("text")).alias("term"))
-    held = held.unionByName(table(spark, folder, "snapshots", "text").select(F.explode(t.tokens("text")).alias("term"))).distinct()
+    held = index.exploded(documents(spark, folder), terms=t.tokens("text"))
+    held = held.unionByName(index.exploded(table(spark, folder, "snapshots", "text"), terms=t.tokens("text"))).distinct()
     return asked.join(held, "term", "left_anti").select("turn_id", "term", "at")
 
 
@@ -146,7 +146,7 @@ def score_articles(spark, folder):
     """Candidates of the pool by rarity-weighted shared terms, with a bonus for titles made of them; roles weigh terms."""
     pool = _pool(spark, folder).select("turn_id", "doc_id", "q", t.terms("title").alias("title_terms"), t.terms("text").alias("lead"))
     terms = _asked(spark, folder).select("turn_id", F.explode(F.transform(F.array_distinct(t.tokens(t.strip_instruction("q"))), t.singular)).alias("term")).distinct()
-    freq = documents(spark, folder).select(F.explode(t.terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    freq = index.exploded(documents(spark, folder), terms=t.terms("text")).groupBy("term").agg(F.count("*").alias("df"))
     roles = _asked(spark, folder).select("turn_id", F.inline(t.role_weights("q"))).groupBy("turn_id", "term").agg(F.max("weight").alias("role"))
     weighed = terms.join(freq, "term", "left").join(roles, ["turn_id", "term"], "left")
     weight = F.when(F.col("df").isNull(), 0.0005).otherwise(1.0 / F.col("df")) * F.coalesce("role", F.lit(1.0))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import sql
 from glossmill.functions import text as t
-from glossmill.sources.tables import table
+from glossmill.operators import index
+from glossmill.sources.tables import spread, table
 
 
 def questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,7 +23,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "title", "text", "lang", "source")
+    return spread(table(spark, folder, "documents", "doc_id", "title", "text", "lang", "source"))
 
 
 def _sorted(xs):
@@ -34,12 +35,12 @@ A = "(SELECT DISTINCT turn_id, answer_text AS a FROM turn_records WHERE answer_t
 
 
 def tokenize_counts(spark, folder):
-    exploded = documents(spark, folder).select("lang", F.explode(t.tokens("text")).alias("term"))
+    exploded = index.exploded(documents(spark, folder), "lang", terms=t.tokens("text"))
     return exploded.groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 def singularize_vocab(spark, folder):
-    vocabulary = documents(spark, folder).select(F.explode(t.tokens("text")).alias("term")).distinct()
+    vocabulary = index.exploded(documents(spark, folder), terms=t.tokens("text")).distinct()
     return vocabulary.select("term", t.singular(F.col("term")).alias("singular"))
 
 
@@ -48,7 +49,7 @@ def strip_instruction(spark, folder):
 
 
 def superlative_words(spark, folder):
-    vocabulary = documents(spark, folder).select(F.explode(t.tokens("text")).alias("term")).distinct()
+    vocabulary = index.exploded(documents(spark, folder), terms=t.tokens("text")).distinct()
     return vocabulary.select("term", t.is_superlative(F.col("term")).alias("superlative"))
 
 
@@ -124,7 +125,7 @@ def bigrams(spark, folder):
 
 def set_ops_terms(spark, folder):
     """Terms of the documents by language: held by both en and fr, by en only, by any, and whether de's are among en's."""
-    words = documents(spark, folder).select("lang", F.explode(t.tokens("text")).alias("term"))
+    words = index.exploded(documents(spark, folder), "lang", terms=t.tokens("text"))
     by = words.filter(F.col("lang").isin("en", "fr", "de")).groupBy("term").agg(*(F.max((F.col("lang") == x).cast("int")).alias(x) for x in ("en", "fr", "de")))
     return by.agg(
         F.count_if((F.col("en") == 1) & (F.col("fr") == 1)).alias("both"),
