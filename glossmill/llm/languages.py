@@ -40,10 +40,8 @@ WORDS = {
         """,
 }
 SETS = {language: set(words.split()) for language, words in WORDS.items()}
-SCORE = {}
-for _language, _words in SETS.items():
-    for _word in _words:
-        SCORE.setdefault(_word, []).append(_language)
+#: The languages of each word, and what it counts for each of them.
+SCORE = {word: [(n, 1 / sum(word in s for s in SETS.values())) for n, words in SETS.items() if word in words] for word in set().union(*SETS.values())}
 TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 WIDE = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 
@@ -51,12 +49,15 @@ WIDE = re.compile(r"[㐀-鿿぀-ヿ가-힯]")
 def scores(text: str) -> dict[str, float]:
     """Words of each language in the text; a word that several languages have counts in part for each."""
     found = dict.fromkeys(SETS, 0.0)
-    for token in TOKEN.findall(text.lower().replace("’", "'")):
-        parts = [token] if token in SCORE else re.split(r"(?<=')|-", token)
-        for part in parts:
-            for language in SCORE.get(part) or SCORE.get(part.rstrip("'")) or ():
-                found[language] += 1 / len(SCORE.get(part) or SCORE[part.rstrip("'")])
     low = text.lower()
+    tokens = TOKEN.findall(low.replace("’", "'"))
+    known = [hit for token in tokens if (hit := SCORE.get(token))]
+    for token in tokens:
+        if ("'" in token or "-" in token) and token not in SCORE:
+            known += [hit for part in re.split(r"(?<=')|-", token) if (hit := SCORE.get(part) or SCORE.get(part.rstrip("'")))]
+    for hit in known:
+        for language, weight in hit:
+            found[language] += weight
     found["de"] += sum(low.count(c) for c in "äöüß") * 0.5
     found["es"] += sum(low.count(c) for c in "ñ¿¡áíóú") * 0.4
     found["fr"] += sum(low.count(c) for c in "èêçàùœ") * 0.5 + len(re.findall(r"\b[ldcnsjmtq]'|\bqu'", low)) * 0.8

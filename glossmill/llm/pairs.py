@@ -158,10 +158,8 @@ def _copies(question: list[str], answer: list[str]) -> bool:
 
 
 def _refuses(said: str) -> bool:
-    """Whether the answer has a refusal and otherwise only courtesies."""
+    """Whether the answer has a refusal and otherwise only courtesies; the first sentence that is neither settles it."""
     low = said.lower().replace("’", "'")
-    if not REFUSAL.search(low):
-        return False
     refused = False
     for part in SENTENCE.split(low):
         asks = "?" in part[-4:] and len(part) < 90
