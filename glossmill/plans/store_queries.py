@@ -270,22 +270,27 @@ def sse_parse(spark, folder):
 
 
 def _events(spark, folder):
-    return table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
+
+
+def _seconds(ts):
+    """Seconds since 1970, of a time stamp without a zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts) / 1e6
 
 
 def events_tumbling(spark, folder):
     by = _events(spark, folder).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
-    return by.select(F.col("w.start").cast("long").alias("start_s"), "event_type", "n", "value")
+    return by.select(_seconds(F.col("w.start")).cast("long").alias("start_s"), "event_type", "n", "value")
 
 
 def events_sliding(spark, folder):
     by = _events(spark, folder).groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return by.select(F.col("w.start").cast("long").alias("start_s"), "event_type", "n")
+    return by.select(_seconds(F.col("w.start")).cast("long").alias("start_s"), "event_type", "n")
 
 
 def events_session(spark, folder):
     by = _events(spark, folder).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
-    return by.select("user_id", F.col("w.start").cast("double").alias("start_s"), F.col("last").cast("double").alias("last_s"), "n")
+    return by.select("user_id", _seconds(F.col("w.start")).alias("start_s"), _seconds(F.col("last")).alias("last_s"), "n")
 
 
 QUERIES = {f.__name__: f for f in (
