@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm import languages
+from glossmill.session import cut
 
 #: Answers from which the cut points of the sorted order are taken, and the characters read of each.
 SAMPLE, SAMPLE_CHARS = 4096, 400
@@ -116,6 +117,7 @@ def defects(turns: DataFrame) -> DataFrame:
     """
     asked = newest(turns).filter("input_text RLIKE r'[^\\s\\x{00A0}\\x{200B}\\x{3000}]'")
     asked = asked.withColumn("answer", F.regexp_replace(F.coalesce("answer_text", F.lit("")), r"^\s+|\s+$", "")).withColumn("answer_key", F.md5("answer"))
+    asked = cut(asked.select("turn_id", "input_text", "answer", "answer_key"))  # read again for each kind of evidence
     answers = asked.filter("answer <> ''").groupBy("answer_key").agg(F.first("answer").alias("answer"))
     evidence = asked.join(next_longer(answers), "answer_key", "left").join(length_limits(answers).withColumn("at_limit", F.lit(True)), F.length("answer") == F.col("n_chars"), "left")
     judged = evidence.select("turn_id", "input_text", "answer", "goes_on", F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
