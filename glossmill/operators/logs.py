@@ -62,3 +62,22 @@ def resolve_chain(links: DataFrame, *, node: str, target: str, most_hops: int =
         state = state.withColumn("ended", F.col("ended") & ~lost)
     status = F.when(F.col("lost"), "not_found").when(~F.col("ended"), "cycle").when(F.col("hops") > most_hops, "too_deep").otherwise("ok")
     return state.select("node", F.col("at").alias("root"), "hops", status.alias("status"))
+
+
+def repeated_cycles(texts: DataFrame, *, key: str, text: str, periods: int = 3, least_chars: int = 20, longest: int = 8) -> DataFrame:
+    """(key, period, first_no, times): runs of sentences that equal those a period before, for periods of 2 to 8.
+
+    A run counts if it spans at least three periods and its sentences have 20
+    characters or more; of a text the shortest period counts, then the first run.
+    """
+    unit = lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, r"\[S\d+\]", "")), r"\s+", " "))
+    units = texts.select(key, F.posexplode(t.sentences(text)).alias("no", "s")).select(key, "no", unit(F.col("s")).alias("unit"))
+    order = Window.partitionBy(key).orderBy("no")
+    same = [F.struct(F.lit(p).alias("period"), (F.col("unit") == F.lag("unit", p).over(order)).alias("same")) for p in range(2, longest + 1)]
+    hits = units.withColumn("flags", F.array(*same)).filter(F.length("unit") >= least_chars).select(key, "no", F.inline("flags")).filter("same")
+    run = F.col("no") - F.row_number().over(Window.partitionBy(key, "period").orderBy("no"))
+    runs = hits.withColumn("run", run).groupBy(key, "period", "run").agg(F.count("*").alias("n"), F.min("no").alias("at"))
+    found = runs.filter(F.col("n") >= F.col("period") * (periods - 1))
+    found = found.select(key, "period", (F.col("at") - F.col("period")).alias("first_no"), F.floor((F.col("n") + F.col("period")) / F.col("period")).alias("times"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("period", "first_no"))
+    return found.withColumn("place", place).filter("place = 1").drop("place")
