@@ -41,8 +41,8 @@ def label_sentence(spark, folder):
 
 
 def repetition_cycles(spark, folder):
-    """Answers in which three periods or more of two to eight sentences follow on each other; the shortest period."""
-    return logs.repeated_cycles(answers(spark, folder), key="turn_id", text="a")
+    """Answers in which two periods or more of two to eight sentences follow on each other; the shortest period."""
+    return logs.repeated_cycles(answers(spark, folder), key="turn_id", text="a", periods=2)
 
 
 def proper_names(spark, folder):
@@ -96,6 +96,14 @@ SQL = {
     "label_sentence": f"""
         WITH p AS (SELECT turn_id, unnest(x) AS s, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS no FROM (SELECT turn_id, {_SPLIT} AS x FROM {A})), c AS (SELECT turn_id, no, s, unnest({_LABELS}) AS label FROM p)
         SELECT turn_id, label, min(no) AS sentence_no, md5(arg_min(s, no)) AS sentence_md5 FROM c GROUP BY ALL""",
+    "repetition_cycles": rf"""
+        WITH u AS (SELECT turn_id, no, trim(regexp_replace(lower(regexp_replace(s, '\[S\d+\]', '', 'g')), '\s+', ' ', 'g'), ' ') AS unit
+                   FROM (SELECT turn_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS no FROM (SELECT turn_id, {_SPLIT} AS x FROM {A}))),
+             h AS (SELECT a.turn_id, p AS period, a.no FROM u a JOIN u b USING (turn_id), range(2, 9) r(p) WHERE a.no = b.no + p AND a.unit = b.unit AND length(a.unit) >= 20),
+             r AS (SELECT *, no - row_number() OVER (PARTITION BY turn_id, period ORDER BY no) AS run FROM h),
+             f AS (SELECT turn_id, period, min(no) - period AS first_no, (count(*) + period) // period AS times FROM r GROUP BY turn_id, period, run HAVING count(*) >= period),
+             k AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY period, first_no) AS place FROM f)
+        SELECT turn_id, CAST(period AS INTEGER) AS period, CAST(first_no AS INTEGER) AS first_no, times FROM k WHERE place = 1""",
     "proper_names": r"""
         SELECT name, count(*) AS answers FROM (SELECT turn_id, unnest(list_distinct(regexp_extract_all(regexp_replace(a, '\[(S\d+(?:\s*,\s*S\d+)*)\]', '', 'g'), '([A-Z][\p{L}''-]*(?: [A-Z][\p{L}''-]*)+)', 1))) AS name FROM """
     + A
