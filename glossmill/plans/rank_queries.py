@@ -188,6 +188,21 @@ def assess_basic(spark, folder):
     return both.select("turn_id", covered.alias("coverage"), level.alias("level"))
 
 
+def assess_full(spark, folder):
+    """assess_basic(), where strong also needs the question's numbers, and for a question of measure a superlative, in the evidence."""
+    pool = _pool(spark, folder).filter("rank <= 3")
+    words = F.array_distinct(F.flatten(F.collect_list(F.array_union(F.coalesce(t.all_tokens("title"), F.array().cast("array<string>")), t.all_tokens("text")))))
+    held = pool.groupBy("turn_id").agg(words.alias("words"))
+    asked = _asked(spark, folder).select("turn_id", F.array_distinct(F.filter(t.all_tokens("q"), lambda x: x.rlike("^[0-9]+$"))).alias("numbers"), (F.size(t.modifiers("q")) > 0).alias("measure"))
+    graded = assess_basic(spark, folder).join(asked, "turn_id").join(held, "turn_id", "left")
+    none = F.array().cast("array<string>")
+    numbers = F.size(F.array_except("numbers", F.coalesce("words", none))) == 0
+    superlative = ~F.col("measure") | F.exists(F.coalesce("words", none), t.is_superlative)
+    reasons = F.filter(F.array(F.when(F.col("coverage") < 0.5, "coverage"), F.when(~numbers, "number"), F.when(~superlative, "superlative")), lambda x: x.isNotNull())
+    level = F.when(F.col("level") == "empty", "empty").when(F.size(reasons) == 0, "strong").otherwise("weak")
+    return graded.select("turn_id", level.alias("level"), F.array_join(reasons, ",").alias("reasons"))
+
+
 def drop_modifier_only(spark, folder):
     """The pool without candidates that share only measuring words with the question, unless none would be left."""
     pool = _pool(spark, folder).withColumn("mods", F.transform(t.modifiers("q"), t.singular))
@@ -236,7 +251,7 @@ def dense_topk(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_pool, term_stats, doc_freq, rrf_fuse, diversity_cap, relevance_cutoff, pack_budget, trim_to_budget, rank_title_boost, rank_mention_penalty,
-    rank_heading_affinity, rank_lead_first, rarity_order, coordination_rank, unknown_terms, score_articles, coverage, best_coverage, assess_basic,
+    rank_heading_affinity, rank_lead_first, rarity_order, coordination_rank, unknown_terms, score_articles, coverage, best_coverage, assess_basic, assess_full,
     drop_modifier_only, merge_queries, lead_with_backfill, eval_recall_mrr, dense_topk,
 )}
 
@@ -356,6 +371,16 @@ SQL = {
         k AS (SELECT turn_id, {_SINGULAR.format(f"list_filter({sql.question_terms('q')}, lambda x: x NOT IN ({sql.quoted(sql.words.QUESTION_FILLERS)}))")} AS key FROM q),
         c AS (SELECT turn_id, held, CASE WHEN len(key) > 0 THEN round(coalesce(len(list_filter(key, lambda x: list_contains(held, x))), 0) / len(key), 6) ELSE CAST(0 AS DOUBLE) END AS coverage FROM k LEFT JOIN h USING (turn_id))
         SELECT turn_id, coverage, CASE WHEN held IS NULL THEN 'empty' WHEN coverage >= 0.5 THEN 'strong' ELSE 'weak' END AS level FROM c""",
+    "assess_full": f"""{_FULL},
+        h AS (SELECT turn_id, list_distinct(flatten(list(list_concat(coalesce({sql.terms('title')}, []), {sql.terms('text')})))) AS held,
+                     list_distinct(flatten(list(list_concat(coalesce({sql.all_tokens('title')}, []), {sql.all_tokens('text')})))) AS ws FROM full_pool WHERE rank <= 3 GROUP BY turn_id),
+        k AS (SELECT turn_id, {_SINGULAR.format(f"list_filter({sql.question_terms('q')}, lambda x: x NOT IN ({sql.quoted(sql.words.QUESTION_FILLERS)}))")} AS key,
+                     list_filter({sql.all_tokens('q')}, lambda x: regexp_matches(x, '^[0-9]+$')) AS numbers, len({sql.modifiers('q')}) > 0 AS measure FROM q),
+        c AS (SELECT turn_id, held, CASE WHEN len(key) > 0 THEN round(coalesce(len(list_filter(key, lambda x: list_contains(held, x))), 0) / len(key), 6) ELSE CAST(0 AS DOUBLE) END AS coverage,
+                     len(list_filter(numbers, lambda x: NOT list_contains(coalesce(ws, []), x))) = 0 AS numbered, NOT measure OR len(list_filter(coalesce(ws, []), lambda x: {sql.is_superlative('x')})) > 0 AS superlative
+              FROM k LEFT JOIN h USING (turn_id)),
+        r AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.5 THEN 'coverage' END, CASE WHEN NOT numbered THEN 'number' END, CASE WHEN NOT superlative THEN 'superlative' END) AS reasons FROM c)
+        SELECT turn_id, CASE WHEN held IS NULL THEN 'empty' WHEN reasons = '' THEN 'strong' ELSE 'weak' END AS level, reasons FROM r""",
     "drop_modifier_only": f"""{_FULL},
         m AS (SELECT *, {_SINGULAR.format(sql.modifiers('q'))} AS mods, list_filter({_SINGULAR.format(sql.question_terms('q'))}, lambda x: length(x) > 1) AS topic, list_concat(coalesce({sql.terms('title')}, []), {sql.terms('text')}) AS b FROM full_pool),
         x AS (SELECT *, len(mods) > 0 AND len(topic) > 0 AND NOT list_has_any(b, topic) AND list_has_any(b, mods) AS dropped FROM m),
