@@ -41,8 +41,21 @@ def supported_figures(sentences: DataFrame, passages: DataFrame, *, key: str, te
     return both.groupBy(key, "no").agg(F.count("figure").alias("figures"), F.count_if(F.col("figure").isNotNull() & F.col("held").isNull()).alias("missing"))
 
 
-def dumps(answers: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(key, most_labels, long, dump): long answers with a sentence that carries four labels or more."""
+def copied_labels(answers: DataFrame, passages: DataFrame, *, key: str, text: str, label: str, passage: str) -> DataFrame:
+    """(key, copied): how many labels of an answer are copied: their passage has 0.8 of the terms of a sentence that carries them."""
+    parts = answers.select(key, F.explode(t.sentences(text)).alias("sentence"))
+    said = parts.select(key, F.explode(t.labels("sentence")).alias(label), F.array_distinct(t.tokens("sentence")).alias("own")).filter(F.size("own") > 0)
+    held = passages.select(key, label, F.array_distinct(t.tokens(passage)).alias("held"))
+    share = F.size(F.array_intersect("own", "held")) / F.size("own")
+    both = said.join(held, [key, label])
+    return both.groupBy(key).agg(F.count_distinct(F.when(share >= COPIED, F.col(label))).alias("copied"))
+
+
+def dumps(answers: DataFrame, passages: DataFrame, *, key: str, text: str, label: str, passage: str) -> DataFrame:
+    """(key, most_labels, long, copied, dump): long answers with a sentence that carries four labels or more, and any that copy the passages of three labels."""
     parts = answers.select(key, F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"), F.explode(t.sentences(text)).alias("s"))
     by = parts.groupBy(key).agg(F.max(F.size(t.labels("s"))).alias("most_labels"), (F.max("words") >= LONG_ANSWER).alias("long"))
-    return by.withColumn("dump", F.col("long") & (F.col("most_labels") >= STACKED))
+    copies = copied_labels(answers, passages, key=key, text=text, label=label, passage=passage)
+    both = by.join(copies, key, "left").fillna(0, ["copied"])
+    dump = (F.col("long") & (F.col("most_labels") >= STACKED)) | (F.col("copied") >= COPIES)
+    return both.select(key, "most_labels", "long", "copied", dump.alias("dump"))

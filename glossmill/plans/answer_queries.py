@@ -79,7 +79,12 @@ def is_supported(spark, folder):
 
 
 def dump_detect(spark, folder):
-    return attribution.dumps(answers(spark, folder), key="turn_id", text="a")
+    """Dumps of evidence. The packets of all turns whose answers have labels enough for the second sign are searched again, as no table holds them."""
+    said = answers(spark, folder)
+    labelled = said.filter(F.size(t.labels("a")) >= attribution.COPIES).select("turn_id").distinct()
+    packets = rank_queries.packets(spark, folder, questions(spark, folder).join(labelled, "turn_id", "left_semi"))
+    found = attribution.dumps(said, packets, key="turn_id", text="a", label="label", passage="text")
+    return found.select("turn_id", "most_labels", "long", "dump")
 
 
 def research(spark, folder):

@@ -19,11 +19,16 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return questions(spark, folder).filter(F.col("turn_id") % 50 == 0)
 
 
-def bm25_pool(spark, folder):
-    scored = index.bm25(_asked(spark, folder), documents(spark, folder), query="turn_id", query_text="q", key="doc_id")
+def searched(spark, folder, asked: DataFrame) -> DataFrame:
+    """The best documents of each question of asked (turn_id, q)."""
+    scored = index.bm25(asked, documents(spark, folder), query="turn_id", query_text="q", key="doc_id")
     return index.top(scored, POOL, query="turn_id", key="doc_id").select("turn_id", "doc_id", "score", "rank")
 
 
+def bm25_pool(spark, folder):
+    return searched(spark, folder, _asked(spark, folder))
+
+
 def bm25_topk(spark, folder):
     return bm25_pool(spark, folder).filter("rank <= 5")
 
@@ -72,6 +77,13 @@ def relevance_cutoff(spark, folder):
     return rank.relevance_cutoff(pool, query="turn_id", own_terms="own").select("turn_id", "doc_id", "rank")
 
 
+def packets(spark, folder, asked: DataFrame) -> DataFrame:
+    """(turn_id, label, doc_id, text): the passages of pack_budget for the questions of asked."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    pool = searched(spark, folder, asked).join(docs.select("doc_id", t.estimate_tokens("text").alias("tokens")), "doc_id")
+    return rank.pack_budget(pool, query="turn_id", item="doc_id", tokens="tokens").select("turn_id", "label", "doc_id").join(docs, "doc_id")
+
+
 def pack_budget(spark, folder):
     pool = _pool(spark, folder).withColumn("tokens", t.estimate_tokens("text"))
     return rank.pack_budget(pool, query="turn_id", item="doc_id", tokens="tokens")
