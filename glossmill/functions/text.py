@@ -123,6 +123,21 @@ def figures(text: Text) -> Column:
     return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(-?\d+(?:\.\d+)?)")))
 
 
+def claimed_figures(text: Text) -> Column:
+    """figures() without those in brackets right behind a number, which convert it, as in 70 °C (158 °F)."""
+    converted = F.regexp_extract_all(F.regexp_replace(col(text), "−", "-"), F.lit(r"-?\d[\d,]*(?:\.\d+)?[^\s(),]*\s*\(([^()]*)\)"), 1)
+    return F.array_except(figures(text), F.flatten(F.transform(converted, lambda c: F.regexp_extract_all(c, F.lit(r"(-?\d+(?:\.\d+)?)")))))
+
+
+def names(text: Text) -> Column:
+    """Distinct proper names: runs of capitalised words, and single ones that don't begin the text and are no month, day or I."""
+    word = r"[A-Z][\p{L}'-]*(?<!['-])(?![\p{L}\p{N}_])"
+    several = rf"(?<![\p{{L}}\p{{N}}_]){word}(?:\s+{word})+"
+    rest = F.regexp_replace(F.regexp_replace(col(text), several, "\x01"), rf"^\s*{word}", "")
+    single = F.regexp_extract_all(rest, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({word})"))
+    return F.array_union(F.regexp_extract_all(col(text), F.lit(f"({several})")), F.filter(single, lambda w: ~w.isin(words.NO_NAMES)))
+
+
 def sentences(text: Text) -> Column:
     """Split after . ! ? before white space, and at line ends; blank parts left out."""
     return F.filter(F.split(col(text), r"(?<=[.!?])\s+|\n+"), lambda s: s.rlike(r"[^\s\x{00A0}\x{200B}\x{3000}]"))

@@ -32,5 +32,10 @@ CHAT_WORDS = "ok okay k lol haha thanks thankyou thx ty cool nice wow yes yeah y
 YES_REPLIES = ["yes", "yeah", "yep", "yup", "ya", "y", "yes please", "thats it", "correct", "right"]
 NO_REPLIES = ["no", "nope", "nah", "n", "not that", "no thats not it"]
 
+NO_NAMES = """
+I Monday Tuesday Wednesday Thursday Friday Saturday Sunday
+January February March April May June July August September October November December
+""".split()
+
 DOUBLED = "bdgklmnprt"
 VOWELS = "aeiou"

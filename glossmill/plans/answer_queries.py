@@ -78,6 +78,11 @@ def is_supported(spark, folder):
     return attribution.supported_figures(_sentences(spark, folder), _evidence(spark, folder), key="turn_id", text="text")
 
 
+def sentence_support(spark, folder):
+    """Whether the evidence supports each sentence: enough shared terms, and every figure and name; is_supported is the part on figures that its SQL states."""
+    return attribution.supported(_sentences(spark, folder), _evidence(spark, folder), key="turn_id", passage="doc_id", text="text")
+
+
 def dump_detect(spark, folder):
     """Dumps of evidence. The packets of all turns whose answers have labels enough for the second sign are searched again, as no table holds them."""
     said = answers(spark, folder)
@@ -94,7 +99,7 @@ def research(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    title_suggest, spell_correct, compound_split, morph_variants, morph_expand, attribute_best, is_supported, dump_detect, research,
+    title_suggest, spell_correct, compound_split, morph_variants, morph_expand, attribute_best, is_supported, sentence_support, dump_detect, research,
 )}
 
 _SPLIT = r"list_filter(regexp_split_to_array(regexp_replace(a, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: regexp_matches(s, '[^\s\x{00A0}\x{200B}\x{3000}]'))"

@@ -1,5 +1,8 @@
-"""Dumps of evidence, held against rules computed by hand."""
+"""Dumps of evidence and support of sentences, held against rules computed by hand."""
 
+from pyspark.sql import functions as F
+
+from glossmill.functions import text as t
 from glossmill.operators import attribution
 
 
@@ -26,3 +29,23 @@ def test_answers_that_copy_their_passages_are_dumps(spark):
         1: (1, False, 3, True), 2: (1, False, 2, False), 3: (1, False, 2, False), 4: (2, False, 1, False),
         5: (4, False, 0, False), 6: (1, False, 0, False), 7: (4, True, 0, True),
     }
+
+
+def test_a_sentence_needs_shared_terms_and_every_figure_and_name(spark):
+    evidence = "The cold station Vostok recorded temperatures of -70 degrees. Anders Lund survived the winter near Maro."
+    cases = {
+        "Vostok recorded cold temperatures.": True,
+        "A cold station recorded temperatures of -70° (-94°).": True,  # a conversion
+        "A cold station recorded temperatures of -71 degrees.": False,
+        "In winter Vitus Andronicus survived cold temperatures.": False,  # an invented name
+        "The winter near maro was survived by LUND.": True,
+        "The explorer Petra Lund survived the winter.": True,  # one word of a name will do
+        "The cold winter survived near Mar.": False,  # no whole word
+        "The cold winter station survived in January.": True,
+        "Bees build waxen hexagons.": False,  # shares nothing, says nothing specific
+    }
+    rows = [(1, n, s) for n, s in enumerate(cases)] + [(2, 0, "Vostok recorded cold temperatures.")]
+    sentences = spark.createDataFrame(rows, "k long, no int, sentence string").withColumn("terms", F.array_distinct(t.tokens("sentence")))
+    passages = spark.createDataFrame([(1, 7, evidence), (1, 8, "Rivers freeze slowly."), (1, 9, None)], "k long, p long, text string")
+    got = {(r.k, r.no): r.supported for r in attribution.supported(sentences, passages, key="k", passage="p", text="text").collect()}
+    assert {s: got[1, n] for n, s in enumerate(cases)} == cases and got[2, 0] is False and len(got) == len(rows)
