@@ -47,6 +47,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return lines.repeated_lines(table(spark, folder, "snapshots", "archive_id", "passage_id", "text")).select("passage_id", "line_no")
 
 
+def p2_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that near-duplicates of them, with numbers, dates and names masked, make frequent in their archive."""
+    return lines.similar_lines(table(spark, folder, "snapshots", "archive_id", "passage_id", "text")).select("passage_id", "line_no")
+
+
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
     snapshots = table(spark, folder, "snapshots", "archive_id", "passage_id", "text", "created_at")
     return lines.without_repeated(snapshots).select("passage_id", "created_at", "text")
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_recall": p1_recall,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p2_near": p2_near,
     "p3_found": p3_found,
     "p3_shortened": p3_shortened,
     "p4_found": p4_found,

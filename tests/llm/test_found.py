@@ -76,9 +76,52 @@ def test_repeated_lines(spark):
     assert ("p3", "Own line xxxq\n\n1234") in clean and ("s", None) in clean and ("t", "") in clean and ("q1", "SHARE THIS") in clean
 
 
-def test_lines_of_the_same_letters_share_a_bucket():
-    got = lines.min_hashes(["abcdefghijkl", "x", "abcdefghijkl", "", "abcdefghijkm" * 50])
-    assert got[0] == got[2] and len(set(got.tolist())) == 4
+def test_lines_of_the_same_letters_share_buckets():
+    texts = ["Abc-defghijkl\n\n12 x\r\nabc 1 DEFGHIJKL!", "abcdefghijkm " * 50 + "\nx"]
+    text, number, forms, buckets = lines.hash_lines(texts)
+    assert list(zip(text.tolist(), number.tolist(), strict=True)) == [(0, 1), (0, 3), (0, 4), (1, 1), (1, 2)]
+    for a, b in ((0, 2), (1, 4)):
+        assert (forms[a] == forms[b]).all() and (buckets[a] == buckets[b]).all()
+    assert len({tuple(f) for f in forms.tolist()}) == 3 and len(set(buckets[[0, 1]].ravel().tolist())) == 2 * lines.BANDS
+
+
+def test_similar_lines_share_a_bucket_as_often_as_they_should():
+    random.seed(11)
+    line = "".join(random.choice("abcdefghijklmnopqrst") for _ in range(400))
+    other = [line[:200] + random.choice("uvwxyz") * 2 + line[200 + random.randrange(40) :] for _ in range(300)]
+    *_, buckets = lines.hash_lines([line, *other])
+    assert (buckets[1:] == buckets[0]).any(1).mean() > 0.9
+    *_, apart = lines.hash_lines(["".join(random.choice("abcdefghij") for _ in range(60)) for _ in range(300)])
+    assert len(set(apart.ravel().tolist())) == 300 * lines.BANDS
+
+
+def test_no_line_is_found_but_through_its_buckets(spark, monkeypatch):
+    df = spark.createDataFrame([("a", f"p{n}", f"Share this, {n}!") for n in range(12)], "archive_id string, passage_id string, text string")
+    assert lines.repeated_lines(df).count() == 12
+    hashed = lines.hashed_lines(df).withColumn("buckets", lines.F.array(lines.F.xxhash64("passage_id")))
+    monkeypatch.setattr(lines, "hashed_lines", lambda snapshots: hashed)
+    assert lines.repeated_lines(df).count() == 0
+
+
+def test_near_duplicates_are_removed_as_one_cluster(spark):
+    people = ["Ada Lovel", "Grace Hop", "Alan Turi", "Emmy Noet"]
+    rows = [("a", f"p{n}", f"Own text {'xyzw'[n % 4] * (30 + n)} here\nWritten in {1900 + n} by {people[n % 4]} for the readers of this shelf, who may copy each page of it by hand as long as nobody is asked to pay for such a copy") for n in range(11)]
+    rows += [("a", "typo", "Written in 1950 by Ada Lovel for the readers of this shelf, who may copy each page of it by hand as long as nobody is aksed to pay for such a copy"), ("b", "q", rows[0][2]), (None, "r", rows[0][2]), ("a", "n", None), ("a", "e", "")]
+    rows += [("c", f"c{n}", f"Written in {n} by Ada Lovel for the readers of this shelf, who may copy each page of it by hand as long as nobody is asked to pay for such a copy") for n in range(9)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows + rows[:3]], "archive_id string, passage_id string, text string, created_at int, bucket string")
+    found = lines.similar_lines(df)
+    got = {(r.passage_id, r.line_no): r.passages for r in found.collect()}
+    assert set(got) == {(f"p{n}", 2) for n in range(11)} | {("typo", 1)} and set(got.values()) == {12}
+    assert len({r.cluster for r in found.collect()}) == 1
+    clean = {r.passage_id: r.text for r in lines.without_lines(df, found).collect()}
+    assert clean["typo"] == "" and clean["p4"] == f"Own text {'x' * 34} here" and clean["q"] == rows[0][2] and clean["n"] is None
+    assert lines.repeated_lines(df).count() == 0 and lines.similar_lines(df.limit(0)).collect() == []
+
+
+def test_too_many_keys_are_joined_by_salt(spark, monkeypatch):
+    df = spark.createDataFrame([("a", f"p{n}", "Share this!\nand that") for n in range(12)], "archive_id string, passage_id string, text string")
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    assert lines.repeated_lines(df).count() == 24 and lines.similar_lines(df).count() == 24
 
 
 # 3. Pairs
