@@ -67,9 +67,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_shortened(spark: SparkSession, folder: str) -> DataFrame:
     """Answers that begin a longer answer, by their hash, with the length of both texts' common part."""
-    answers = _turns(spark, folder).filter("answer_text <> ''").select(F.md5("answer_text").alias("answer_key"), F.col("answer_text").alias("answer")).distinct()
-    short = pairs.next_longer(answers).select("answer_key")
-    return answers.join(short, "answer_key", "left_semi").select("answer_key", F.length("answer").cast("long").alias("n_chars"))
+    answers = _turns(spark, folder).filter("answer_text <> ''").select(F.col("answer_text").alias("answer")).distinct()
+    return pairs.next_longer(answers).select(F.md5("answer").alias("answer_key"), F.length("answer").cast("long").alias("n_chars"))
 
 
 #: The piece capacity and overlap of size_specs, in characters.

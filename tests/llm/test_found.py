@@ -138,14 +138,67 @@ def test_too_many_keys_are_joined_by_salt(spark, monkeypatch):
         ("Was ist die Flut?", "Tut mir leid, ich muss diese Bitte ablehnen.", "refusal"), ("Qu'est-ce que la marée ?", "Je regrette, mais je ne peux pas répondre à cette question.", "refusal"),
         ("What is a tide and why does it matter?", "La marée est une onde de la mer, car la lune attire les eaux.", "other_language"),
         ("Translate into French: the tide is high", "La marée est haute dans la mer.", None),
-        ("What is a tide?", "A tide is a slow wave that the moon", "truncated"), ("What is a tide?", "A tide is slow. It comes tw…", "truncated"),
+        ("What is a tide?", "A tide is a slow wave. It comes when the moon", "truncated"), ("What is a tide?", "A tide is slow. It comes tw…", "truncated"),
         ("What is a tide?", "A tide is a wave. [S1] 🙂", None), ("Name some seas", "There are many.\n- Baltic\n- North Sea", None), ("How far?", "151 miles [S3, S5]", None),
         ("How far?", "A table:\n| a | b |\n|---|---|\n| x | 1 |", None), ("How far?", "A table:\n| a | b |\n|---|---|\n| x | 1", "truncated"),
         ("How far?", "The sum is:\n```\na = 2 * 3\n```", None), ("How far?", "The sum is:\n```\na = 2 *", "truncated"), ("How far?", "It follows.\n\nx = 4,441", None),
     ],
 )
 def test_defects(question, answer, defect):
-    assert pairs.defect(question, answer) == defect
+    assert pairs.judge([question], [answer])[0][0] == defect
+
+
+def test_judging_by_batch_and_singly_is_the_same():
+    asked = ["What is a tide?", "Was ist die Flut?", ""]
+    said = ["La marée est une onde de la mer, car la lune attire les eaux.", "Die Flut ist eine Welle.", "x"]
+    assert pairs.judge(asked, said) == [pairs.judge([q], [a])[0] for q, a in zip(asked, said, strict=True)] and pairs.judge([], []) == []
+
+
+def _found(spark, answers, question="What is a tide and why does it matter?"):
+    rows = [(n, question, a, 1) for n, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, "turn_id long, input_text string, answer_text string, logged_at long")
+    return {answers[r.turn_id]: r.defect for r in pairs.defects(df).collect()}
+
+
+def test_only_a_neighbour_in_the_sorted_order_tells(spark):
+    alone = ["The capital of France is Paris", "A tide is about 3.", "The moon of the sea approx.", "It is deep."]
+    assert _found(spark, [*alone, "Nothing begins like this one does."]) == {}
+    longer = ["The capital of Spain is Madrid and has been for long.", "A tide is about 3.5 metres high.", "The moon of the sea approx. a mile off.", "It is deep. It is wide."]
+    assert _found(spark, [*alone, *longer]) == dict.fromkeys(alone[:3], "truncated")
+    assert _found(spark, ["Whales are very large animals 🙂", "Whales are very large animals that live in the sea"]) == {"Whales are very large animals 🙂": "truncated"}
+
+
+def test_only_a_limit_of_length_tells(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("bcdfgklmnprstvz") for _ in range(n))
+    cut_off = [f"{word(6).title()} {word(9)} {word(9)} {word(12)}" for _ in range(40)]
+    assert set(_found(spark, cut_off).values()) == {"truncated"} and _found(spark, cut_off[:20]) == {}
+
+
+def test_a_stock_answer_is_joined_by_salt(spark):
+    answers = ["The whole of it is known to all"] * 300 + ["The whole of it is known to all who read."]
+    rows = [(n, "What is a tide?", a, 1) for n, a in enumerate(answers)]
+    df = spark.createDataFrame(rows, "turn_id long, input_text string, answer_text string, logged_at long")
+    assert sorted(r.turn_id for r in pairs.defects(df).collect()) == list(range(300))
+
+
+# Pairs that none of the rules was written for.
+@pytest.mark.parametrize(
+    "question, answer, defect",
+    [
+        ("What is a tide?", "That's not a topic I'm comfortable discussing.", "refusal"), ("What is a tide?", "This request falls outside my scope.", "refusal"),
+        ("What is a tide?", "I'd prefer to leave that one alone.", "refusal"), ("What is a tide?", "I could not help noticing the tide.", None),
+        ("What can a bat give?", "A bat is not able to offer milk to birds.", None), ("Was kann ein Huhn?", "Ein Huhn kann nicht weit fliegen.", None),
+        ("What is the capital of Portugal?", "A capital de Portugal é Lisboa, que fica na foz do rio Tejo.", "other_language"),
+        ("Where does the river rise and where does it end?", "Эта река берёт начало в горах и впадает в море.", "other_language"),
+        ("Where does the river rise and where does it end?", "De rivier ontspringt in de bergen en mondt uit in de zee.", "other_language"),
+        ("Where does the river rise and where does it end?", "Il fiume nasce nelle montagne e sfocia nel mare.", "other_language"),
+        ("Wo entspringt der Fluss und wo endet er?", "The river rises in the hills and ends in the sea.", "other_language"),
+        ("Where does the river rise and where does it end?", "Wadi Sol, Quibdó, Montréal, Zürich.", None), ("How is Zürich spelt in the local tongue?", "Züri.", None),
+    ],
+)
+def test_defects_in_other_words(question, answer, defect):
+    assert pairs.judge([question], [answer])[0][0] == defect
 
 
 def test_turns_are_judged_once(spark):
@@ -156,7 +209,7 @@ def test_turns_are_judged_once(spark):
 
 
 def test_limits_of_length(spark):
-    df = spark.createDataFrame([("x" * 80 + str(n),) for n in range(100, 130)] + [("y" * n,) for n in range(60, 110)], "answer string")
+    df = spark.createDataFrame([(83,)] * 30 + [(n,) for n in range(60, 110)], "n_chars int")
     assert {r.n_chars for r in pairs.length_limits(df).collect()} == {83}
 
 
