@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,14 +46,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files, which all workers share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset
-    (tests, one machine) a local folder is taken.
+    Only a local session may have none; it gets a folder of its own. A cluster without
+    one is refused, as its executors would write to their own disks.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "glossmill-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all workers share")
+            folder = tempfile.mkdtemp(prefix="glossmill-checkpoints-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to shared_folder() and go on from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
