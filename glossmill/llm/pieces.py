@@ -103,24 +103,43 @@ def lay(positions: np.ndarray, kinds: np.ndarray, start: int, stop: tuple[int, i
 
 
 def text_ranges(df: DataFrame, *, item: str, text: str, marks: str | None, limit: int, overlap: int) -> DataFrame:
-    """The ranges of each text longer than limit: (item, range_no, base, own, left, chunk, marks, final)."""
+    """The ranges of each text longer than limit: (item, range_no, base, own, left, chunk, marks, final).
+
+    A text is gone through once, its ranges leave one after the other.
+    """
     before = limit + overlap + LOOK_BACK + 2
-    length = F.length("text").cast("long")
     found = F.col(marks) if marks else F.array().cast("array<long>")
-    chosen = df.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"), found.alias("marks")).filter(length > limit)
+    chosen = df.select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"), found.alias("marks")).filter(F.length("text") > limit)
+    names = ["item", "range_no", "base", "own", "left", "chunk", "marks", "final"]
+    types = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
 
-    def part(number):
-        base = number * RANGE
-        left = F.least(base, F.lit(before))
-        chunk = F.substring("text", (base - left + 1).cast("int"), (left + RANGE + AFTER).cast("int"))
-        near = F.filter("marks", lambda m: m.between(base - left, base + RANGE))
-        return F.struct(
-            number.alias("range_no"), base.alias("base"), F.least(length - base, F.lit(RANGE)).alias("own"), left.alias("left"),
-            chunk.alias("chunk"), F.transform(near, lambda m: m - base + left).alias("marks"), (base + RANGE >= length).alias("final"),
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def batch_of(items: pa.Array) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            rest = [pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([items.take(pa.array(columns[0])), *rest], names)
 
-    numbers = F.sequence(F.lit(0).cast("long"), F.ceil(length / RANGE) - 1)
-    return chosen.select("item", F.inline(F.transform(numbers, part)))
+        for batch in batches:
+            for n in range(batch.num_rows):
+                whole, at = batch.column(1)[n].as_py(), np.sort(np.asarray(batch.column(2)[n].as_py() or [], np.int64))
+                for number, base in enumerate(range(0, len(whole), RANGE)):
+                    left = min(base, before)
+                    near = at[np.searchsorted(at, base - left) : np.searchsorted(at, base + RANGE, "right")] - base + left
+                    chunk = whole[base - left : base + RANGE + AFTER]
+                    rows.append((n, number, base, min(len(whole) - base, RANGE), left, chunk, near.tolist(), base + RANGE >= len(whole)))
+                    size += len(chunk)
+                    if size > 16 * RANGE:
+                        yield batch_of(batch.column(0))
+                        rows, size = [], 0
+            if rows:
+                yield batch_of(batch.column(0))
+                rows, size = [], 0
+
+    kind = chosen.schema["item"].dataType.simpleString()
+    return chosen.mapInArrow(run, f"item {kind}, range_no long, base long, own long, left long, chunk string, marks array<long>, final boolean")
 
 
 def file_ranges(spark: SparkSession, paths: list[str], *, limit: int, overlap: int, size: int = RANGE) -> DataFrame:
@@ -243,24 +262,42 @@ def longest_runs(split: DataFrame) -> DataFrame:
 
 
 def long_snapshots(snapshots: DataFrame, sections: DataFrame, limit: int) -> DataFrame:
-    """(passage_id, text, marks): snapshots longer than limit, once each, with the section ends inside them.
+    """(item, text, marks): snapshots longer than limit, once each, with the section ends inside them.
 
-    A passage put several times counts once, as put last (of equal times the text
-    that sorts last). Null passages are one each text. Section ends are used where
-    the snapshot's offsets fit its text; null paths and offsets have none. Sections
-    are few a path, as they tile it, and repeated rows count once.
+    item: (passage_id, unnamed), unnamed being the hash of the text where passage_id is
+    null, which are one each text, and else null. A passage put several times counts
+    once, as put last (of equal times the text that sorts last). Section ends are used
+    where the snapshot's offsets fit its text; null paths and offsets have none.
+    Sections are few a path, as they tile it, and repeated rows count once.
     """
-    key = F.coalesce(F.col("passage_id"), F.concat(F.lit("null "), F.sha2("text", 256)))
-    newest = F.max_by(F.struct("passage_id", "archive_id", "path", "start_offset", "end_offset", "text"), F.struct("created_at", "text"))
-    long = snapshots.filter(F.length("text") > limit).groupBy(key.alias("key")).agg(newest.alias("s")).select("key", "s.*")
+    item = F.struct("passage_id", F.when(F.col("passage_id").isNull(), F.sha2("text", 256)).alias("unnamed"))
+    newest = F.max_by(F.struct("archive_id", "path", "start_offset", "end_offset", "text"), F.struct("created_at", "text"))
+    long = snapshots.filter(F.length("text") > limit).groupBy(item.alias("item")).agg(newest.alias("s")).select("item", "s.*")
     ends = sections.filter("end_offset IS NOT NULL AND path IS NOT NULL").groupBy("archive_id", "path").agg(F.collect_set("end_offset").alias("ends"))
     fits = F.col("end_offset") - F.col("start_offset") == F.length("text")
     marks = F.when(fits, F.transform("ends", lambda e: e - F.col("start_offset")))
-    return long.join(ends, ["archive_id", "path"], "left").select("key", "passage_id", "text", F.coalesce(marks, F.array().cast("array<long>")).alias("marks"))
+    return long.join(ends, ["archive_id", "path"], "left").select("item", "text", F.coalesce(marks, F.array().cast("array<long>")).alias("marks"))
 
 
 def split_snapshots(snapshots: DataFrame, sections: DataFrame, *, limit: int, overlap: int, with_text: bool = True) -> DataFrame:
-    """split_ranges() over long_snapshots(); item: the passage id, or a stand-in of a null one."""
-    long = long_snapshots(snapshots, sections, limit)
-    ranges = text_ranges(long, item="key", text="text", marks="marks", limit=limit, overlap=overlap)
+    """split_ranges() over long_snapshots()."""
+    ranges = text_ranges(long_snapshots(snapshots, sections, limit), item="item", text="text", marks="marks", limit=limit, overlap=overlap)
     return split_ranges(ranges, limit=limit, overlap=overlap, with_text=with_text)
+
+
+def size_of(specs: DataFrame, used_for: str = "piece") -> tuple[int, int]:
+    """(capacity, overlap) of the pieces in a table of sizes: of its rows for them the one with the least spec_id."""
+    row = specs.filter((F.col("used_for") == used_for) & (F.col("capacity") > 0)).orderBy("spec_id").select("capacity", F.coalesce("overlap", F.lit(0)).alias("overlap")).first()
+    if row is None:
+        raise ValueError(f"no size for a {used_for}")
+    return row.capacity, row.overlap
+
+
+def write_files(texts: DataFrame, folder: str, *, by: str, text: str) -> list[str]:
+    """Writes the texts, a line end behind each, to text files a value of `by`, in a new folder that all workers share; gives their paths.
+
+    Null texts are left out; a null value has a folder of its own.
+    """
+    texts.filter(F.col(text).isNotNull()).select(by, F.col(text).alias("value")).write.partitionBy(by).text(folder)
+    local = folder.removeprefix("file:")
+    return sorted(os.path.join(at, name) for at, _, names in os.walk(local) for name in names if name.startswith("part-"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import lines, neighbours, packing, pairs, pieces, residue, tokens
+from glossmill.session import shared_folder
 from glossmill.sources.tables import table
 
 
@@ -71,23 +73,42 @@ def p3_shortened(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.next_longer(answers).select(F.md5("answer").alias("answer_key"), F.length("answer").cast("long").alias("n_chars"))
 
 
-#: The piece capacity and overlap of size_specs, in characters.
-PIECE, OVERLAP = 1200, 120
+def _piece(spark: SparkSession, folder: str) -> tuple[int, int]:
+    return pieces.size_of(table(spark, folder, "size_specs"))
 
 
 def _split(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
+    limit, overlap = _piece(spark, folder)
     snapshots = table(spark, folder, "snapshots", "passage_id", "archive_id", "path", "start_offset", "end_offset", "text", "created_at")
     sections = table(spark, folder, "sections", "archive_id", "path", "end_offset")
-    return pieces.split_snapshots(snapshots, sections, limit=PIECE, overlap=OVERLAP, with_text=with_text)
+    return pieces.split_snapshots(snapshots, sections, limit=limit, overlap=overlap, with_text=with_text)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    runs = pieces.longest_runs(_split(spark, folder, with_text=False)).filter("NOT startswith(item, 'null ')")
-    return runs.select(F.col("item").alias("passage_id"), F.when(F.col("longest_run") > PIECE, "hard").otherwise("soft").alias("cut"))
+    limit, _ = _piece(spark, folder)
+    runs = pieces.longest_runs(_split(spark, folder, with_text=False)).filter("item.passage_id IS NOT NULL")
+    return runs.select("item.passage_id", F.when(F.col("longest_run") > limit, "hard").otherwise("soft").alias("cut"))
 
 
 def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.pieces_of(_split(spark, folder, with_text=True)).withColumnRenamed("item", "passage_id")
+    return pieces.pieces_of(_split(spark, folder, with_text=True)).select("item.*", "piece_no", "start", "end", "boundary", "text")
+
+
+def p4_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts of an archive as files in the shared folder, cut by ranges of bytes: characters, those that the pieces cover, and pieces over the limit."""
+    limit, overlap = _piece(spark, folder)
+    snapshots = table(spark, folder, "snapshots", "archive_id", "text").select(F.coalesce("archive_id", F.lit("")).alias("archive_id"), "text")
+    paths = pieces.write_files(snapshots, f"{shared_folder(spark)}/pieces-{uuid4().hex}", by="archive_id", text="text")
+    split = pieces.split_ranges(pieces.file_ranges(spark, paths, limit=limit, overlap=overlap), limit=limit, overlap=overlap, with_text=False)
+    archive = F.url_decode(F.replace(F.regexp_extract("item", "/archive_id=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    own = F.aggregate(F.transform("pieces", lambda p: p["end"] - p["start"]), F.lit(0).cast("long"), lambda a, b: a + b)
+    files = split.groupBy("item").agg(
+        F.sum("own").alias("n_chars"),
+        (F.sum(own) - overlap * (F.sum(F.size("pieces")) - 1)).alias("covered"),
+        F.sum(F.size(F.filter("pieces", lambda p: p["end"] - p["start"] > limit))).alias("too_long"),
+    )
+    found = files.groupBy(F.when(archive != "__HIVE_DEFAULT_PARTITION__", archive).alias("archive_id"))
+    return found.agg(*(F.sum(c).alias(c) for c in ("n_chars", "covered", "too_long")))
 
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_shortened": p3_shortened,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_files": p4_files,
     "p5_ids": p5_ids,
     "p5_round_trip": p5_round_trip,
     "p6_containers": p6_containers,
@@ -204,6 +226,9 @@ SQL: dict[str, str] = {
                                 THEN 'hard' ELSE 'soft' END AS cut
         FROM (SELECT passage_id, arg_max(text, (created_at, text)) AS text FROM snapshots
               WHERE length(text) > 1200 AND passage_id IS NOT NULL GROUP BY passage_id)""",
+    "p4_files": """
+        SELECT archive_id, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, CAST(sum(length(text) + 1) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS too_long
+        FROM snapshots WHERE text IS NOT NULL GROUP BY archive_id""",
     "p5_round_trip": """
         SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
         FROM documents""",

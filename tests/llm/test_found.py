@@ -259,11 +259,33 @@ def test_files_are_cut_by_byte_ranges(spark, tmp_path):
 
 def test_sections_are_preferred(spark):
     text = ("word " * 140 + "end.\n") + ("more " * 100 + "\n") + "rest " * 200
-    snapshots = spark.createDataFrame([("p", "a", "x", 50, 50 + len(text), text, 1), ("p", "a", "x", 50, 50 + len(text), text, 2), (None, "a", None, 0, 0, text, 1)], "passage_id string, archive_id string, path string, start_offset long, end_offset long, text string, created_at int")
+    rows = [(p, "a", "x", 50, 50 + len(text), text, n) for p, n in (("p", 1), ("p", 2), ("null x", 1))] + [(None, "a", None, 0, 0, text, 1), (None, "a", None, 0, 0, text, 2), (None, None, None, 0, 0, text + "!", 2)]
+    snapshots = spark.createDataFrame(rows, "passage_id string, archive_id string, path string, start_offset long, end_offset long, text string, created_at int")
     sections = spark.createDataFrame([("a", "x", 50 + 705), ("a", "x", 50 + 705), ("a", "x", None), ("a", "x", 99_999), ("a", "x", 50 + 611)], "archive_id string, path string, end_offset long")
-    rows = pieces.pieces_of(pieces.split_snapshots(snapshots, sections, limit=1200, overlap=120)).collect()
-    first = next(r for r in rows if r["item"] == "p" and r.piece_no == 0)
-    assert (first.end, first.boundary) == (705, "section") and len({r["item"] for r in rows}) == 2
+    split = pieces.split_snapshots(snapshots, sections, limit=1200, overlap=120)
+    rows = pieces.pieces_of(split).select("item.*", "piece_no", "end", "boundary").collect()
+    first = {(r.passage_id, r.unnamed): (r.end, r.boundary) for r in rows if r.piece_no == 0}
+    assert len(first) == 4 and first[("p", None)] == first[("null x", None)] == (705, "section") and sum(p is None for p, _ in first) == 2
+
+
+def test_ranges_of_a_text_twice_as_long_take_twice_the_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, n)], "k long, n int").selectExpr("k", "repeat('The sea is deep. ', n) AS t")
+        began = time.time()
+        pieces.text_ranges(df, item="k", text="t", marks=None, limit=1200, overlap=120).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(1_600_000) < 3.2 * min(seconds(800_000) for _ in range(2)) + 1
+
+
+def test_sizes_are_read(spark):
+    specs = spark.createDataFrame([(2, "piece", 900, None), (1, "piece", 1000, 50), (0, "container", 5, 0), (None, None, None, None)], "spec_id int, used_for string, capacity int, overlap int")
+    assert pieces.size_of(specs) == (1000, 50)
+    with pytest.raises(ValueError):
+        pieces.size_of(specs.limit(0))
 
 
 # 5. Tokens
