@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.session import cut
+
 PASSAGE_CHARS = 400
 
 
@@ -84,3 +86,26 @@ def chunk_words(docs: DataFrame, *, key: str, text: str, most: int = PASSAGE_CHA
 
     kind = source.schema["key"].dataType.simpleString()
     return source.mapInArrow(run, f"key {kind}, piece_no int, start int, end int, piece string").withColumnRenamed("key", key)
+
+
+def heading_paths(sections: DataFrame) -> DataFrame:
+    """(archive_id, path, section_index, headings, depth): each section's headings from the top down, joined by " > ".
+
+    sections: archive_id, path, section_index, heading, parent_index; of a section in
+    several rows the heading and parent that sort first count. A parent that doesn't
+    stand before its section ends the chain, so chains end; levels are followed one
+    join each, until none is left.
+    """
+    key = ["archive_id", "path"]
+    one = cut(sections.groupBy(*key, "section_index").agg(F.min(F.coalesce("heading", F.lit(""))).alias("heading"), F.min("parent_index").alias("parent")))
+    above = one.select(*key, F.col("section_index").alias("parent"), F.col("heading").alias("over"), F.col("parent").alias("next"))
+    open_ones = one.select(*key, "section_index", F.col("heading").alias("headings"), "parent", F.lit(1).alias("depth"))
+    done = None
+    while True:
+        step = cut(open_ones.join(above.filter("parent IS NOT NULL"), [*key, "parent"], "left").withColumn("goes_on", F.col("over").isNotNull() & (F.col("parent") < F.col("section_index"))))
+        ended = step.filter("NOT goes_on").select(*key, "section_index", "headings", "depth")
+        done = ended if done is None else done.unionByName(ended)
+        on = step.filter("goes_on")
+        if on.isEmpty():
+            return done
+        open_ones = on.select(*key, "section_index", F.concat("over", F.lit(" > "), "headings").alias("headings"), F.col("next").alias("parent"), (F.col("depth") + 1).alias("depth"))

@@ -1,16 +1,29 @@
-"""Inverted index and BM25 over any table of texts."""
+"""Inverted index and BM25 over any table of texts.
+
+An index is built once and written as tables: postings, in buckets of terms that are
+a partition column, so that a search reads those of its terms only, and the figures of
+each term. A frequent term's postings are dealt to SHARDS buckets by document, so no
+term makes a large bucket or task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
-from glossmill.session import cut
+from glossmill.session import shared_folder
 
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are ranked, so that the order of summing doesn't matter.
 DIGITS = 6
+#: Buckets of an index, and those that the postings of one term are dealt to.
+BUCKETS, SHARDS = 64, 4
+#: Ids of a pool of candidates are broadcast up to so many; beyond it texts are shuffled to them.
+POOL_ROWS = 500_000
 
 
 def exploded(df: DataFrame, *keep: str, terms, name: str = "term") -> DataFrame:
@@ -22,41 +35,78 @@ def exploded(df: DataFrame, *keep: str, terms, name: str = "term") -> DataFrame:
     return df.select(*keep, F.explode_outer(terms).alias(name)).filter(F.col(name).isNotNull())
 
 
-def postings(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, doc_len): the terms of each text; texts without terms have no rows."""
-    listed = docs.select(F.col(key), t.tokens(text).alias("terms")).withColumn("doc_len", F.size("terms"))
-    return exploded(listed, key, "doc_len", terms="terms").groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """Postings (bucket, term, key, doc_len, tf), terms (term, df, cf), number of texts and their mean number of terms."""
 
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    mean: float
 
-def doc_freq(docs: DataFrame, *, key: str, text: str = "text") -> DataFrame:
-    """(term, df): in how many texts a term stands; exact, and without a row for each posting where a text repeats it."""
-    return exploded(docs, terms=F.array_distinct(t.tokens(text))).groupBy("term").agg(F.count("*").alias("df"))
 
+def _bucket(term: str, shard):
+    return F.pmod(F.xxhash64(F.col(term), shard), F.lit(BUCKETS)).cast("int")
 
-def corpus_size(docs: DataFrame, *, text: str = "text") -> tuple[int, float]:
-    """(texts, mean number of terms); null texts count, with no terms."""
-    row = docs.select(F.coalesce(F.size(t.tokens(text)), F.lit(0)).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    return row[0], row[1] or 0.0
 
+def build(docs: DataFrame, *, key: str, text: str = "text", folder: str | None = None) -> Index:
+    """Writes the index of a table of texts to a new folder (of the shared one, if none is given) and reads it back.
 
-def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, key: str, text: str = "text") -> DataFrame:
+    Texts are tokenised once. Null texts, and those without terms, count with no terms;
+    a key in several rows has the terms of all of them in one posting a length.
+    """
+    spark = docs.sparkSession
+    folder = folder or f"{shared_folder(spark)}/index-{uuid4().hex}"
+    seen = Observation()
+    listed = docs.select(F.col(key).alias("key"), t.tokens(text).alias("list")).withColumn("doc_len", F.coalesce(F.size("list"), F.lit(0)))
+    listed = listed.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("doc_len").alias("all"))
+    rows = exploded(listed, "key", "doc_len", terms="list").withColumn("bucket", _bucket("term", F.pmod(F.xxhash64("key"), F.lit(SHARDS))))
+    counted = rows.repartition("bucket").groupBy("bucket", "term", "key", "doc_len").agg(F.count("*").alias("tf"))
+    counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    postings = spark.read.schema(f"term string, key {docs.schema[key].dataType.simpleString()}, doc_len int, tf long, bucket int").parquet(f"{folder}/postings")
+    postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{folder}/terms")
+    n = seen.get["docs"]
+    return Index(postings, spark.read.schema("term string, df long, cf long").parquet(f"{folder}/terms"), n, (seen.get["all"] or 0) / n if n else 0.0)
+
+
+_kept: dict[tuple, Index] = {}
+
+
+def kept(docs: DataFrame, *, key: str, text: str = "text") -> Index:
+    """build(), once in a session for the same query over the same files."""
+    name = (docs.sparkSession.sparkContext.applicationId, key, text, docs.select(key, text).semanticHash(), *sorted(docs.inputFiles()))
+    if name not in _kept:
+        _kept[name] = build(docs, key=key, text=text)
+    return _kept[name]
+
+
+def search(queries: DataFrame, index: Index, *, query: str, query_text: str, key: str) -> DataFrame:
     """(query, key, score): BM25 of each text that shares a term with a query; idf is never below zero.
 
-    A term repeated in the query counts as often. Only postings of terms that occur
-    in some query are built: a text's terms are cut to those before they are counted.
+    A term repeated in the query counts as often. Only the buckets of terms that occur
+    in some query are read.
     """
-    n, mean = corpus_size(docs, text=text)
-    asked = exploded(queries, query, terms=t.tokens(query_text)).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    listed = docs.select(F.col(key), t.tokens(text).alias("terms")).withColumn("doc_len", F.size("terms"))
-    held = exploded(listed, key, "doc_len", terms="terms").join(asked.select("term").distinct(), "term", "left_semi")
-    held = cut(held.groupBy("term", key, "doc_len").agg(F.count("*").alias("tf")))  # read twice, for df and for the scores
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(mean)))
-    scored = held.join(df, "term").join(asked, "term").select(query, key, (F.col("qtf") * idf * saturated).alias("part"))
+    asked = exploded(queries, query, terms=t.tokens(query_text)).groupBy(query, "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
+    idf = F.greatest(F.lit(0.0), F.log(1 + (F.lit(index.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    asked = asked.select(query, "term", (F.col("qtf") * idf).alias("weight")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))))
+    asked = asked.withColumn("bucket", _bucket("term", F.col("shard"))).drop("shard").distinct()
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(index.mean)))
+    scored = index.postings.join(asked, ["bucket", "term"]).select(query, F.col("key").alias(key), (F.col("weight") * saturated).alias("part"))
     return scored.groupBy(query, key).agg(F.round(F.sum("part"), DIGITS).alias("score")).filter("score > 0")
 
 
+def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, key: str, text: str = "text") -> DataFrame:
+    """search() in an index of docs, kept while the session reads the same files."""
+    return search(queries, kept(docs, key=key, text=text) if docs.inputFiles() else build(docs, key=key, text=text), query=query, query_text=query_text, key=key)
+
+
+def with_texts(pool: DataFrame, docs: DataFrame, *, key: str) -> DataFrame:
+    """pool with the columns of docs, whose texts stay where they are read while the pool is small enough to be broadcast."""
+    if pool.limit(POOL_ROWS + 1).count() <= POOL_ROWS:
+        return docs.join(F.broadcast(pool), key)
+    return pool.join(docs, key)
+
+
 def top(scored: DataFrame, k: int, *, query: str, key: str, score: str = "score") -> DataFrame:
     """The k best rows of each query with their rank from 1; equal scores by key."""
     rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
+from glossmill.session import cut
 
 
 def upsert_first_seen(rows: DataFrame, *, key: str, at: str) -> DataFrame:
@@ -46,22 +47,38 @@ def repeated_units(texts: DataFrame, *, key: str, text: str, least_chars: int =
 def resolve_chain(links: DataFrame, *, node: str, target: str, most_hops: int = 25) -> DataFrame:
     """(node, root, hops, status) from rows (node, target or null): the end of each chain of links.
 
-    Pointers are doubled, so five joins reach 32 hops. status: ok, not_found where a
-    target isn't a node, too_deep beyond most_hops, cycle where a chain has no end.
+    status: ok, not_found where a target isn't a node (root is that target), too_deep
+    beyond most_hops (root is the end all the same), cycle where a chain has no end
+    (root and hops are null). Of a node in several rows the target that sorts first
+    counts. Each round doubles how far pointers reach and is written, so a chain of n
+    links takes log2(n) rounds; nodes left after as many rounds as the nodes' number
+    allows go in circles.
     """
-    nodes = links.select(F.col(node).alias("node"), F.col(target).alias("next")).distinct()
-    state = nodes.select("node", F.coalesce("next", "node").alias("at"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("hops"), F.col("next").isNull().alias("ended"))
-    for _ in range(5):
-        step = state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.col("ended").alias("end"))
-        state = state.join(step, "at", "left").select(
-            "node", F.when(F.col("ended"), F.col("at")).otherwise(F.coalesce("to", "at")).alias("at"),
-            (F.col("hops") + F.when(F.col("ended"), 0).otherwise(F.coalesce("more", F.lit(0)))).alias("hops"),
-            (F.col("ended") | F.coalesce("end", F.lit(False))).alias("ended"), (F.col("to").isNull() & ~F.col("ended")).alias("lost"),
-        )
-        lost = F.col("lost")
-        state = state.withColumn("ended", F.col("ended") & ~lost)
-    status = F.when(F.col("lost"), "not_found").when(~F.col("ended"), "cycle").when(F.col("hops") > most_hops, "too_deep").otherwise("ok")
-    return state.select("node", F.col("at").alias("root"), "hops", status.alias("status"))
+    nodes = links.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(target).alias("next"))
+    known = nodes.select(F.col("node").alias("next"), F.lit(True).alias("known"))
+    nodes = cut(nodes.join(known, "next", "left"))
+    lost = F.col("next").isNotNull() & F.col("known").isNull()
+    state = nodes.select("node", F.coalesce("next", "node").alias("at"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), (F.col("next").isNull() | lost).alias("ended"), lost.alias("lost"))
+    rounds = max(1, nodes.count()).bit_length() + 1
+    done = None
+    for _ in range(rounds):
+        # a pointer at an end takes on that end; one at a pointer goes on from where that points
+        step = state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.col("ended").alias("end"), F.col("lost").alias("gone"))
+        if done is not None:
+            step = step.unionByName(done.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"), F.lit(True).alias("end"), F.col("lost").alias("gone")))
+        ended = state.filter("ended").drop("ended")
+        done = ended if done is None else done.unionByName(ended)
+        left = state.filter("NOT ended")
+        if left.isEmpty():
+            break
+        state = cut(left.join(step, "at").select("node", F.col("to").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("end").alias("ended"), F.col("gone").alias("lost")))
+    else:
+        left = state.filter("NOT ended")
+        done = done.unionByName(state.filter("ended").drop("ended"))
+    status = F.when(F.col("lost"), "not_found").when(F.col("hops") > most_hops, "too_deep").otherwise("ok")
+    found = done.select("node", F.col("at").alias("root"), "hops", status.alias("status"))
+    circles = left.select("node", F.lit(None).cast(nodes.schema["node"].dataType).alias("root"), F.lit(None).cast("long").alias("hops"), F.lit("cycle").alias("status"))
+    return found.unionByName(circles)
 
 
 def repeated_cycles(texts: DataFrame, *, key: str, text: str, periods: int = 3, least_chars: int = 20, longest: int = 8) -> DataFrame:
@@ -81,3 +98,20 @@ def repeated_cycles(texts: DataFrame, *, key: str, text: str, periods: int = 3,
     found = found.select(key, "period", (F.col("at") - F.col("period")).alias("first_no"), F.floor((F.col("n") + F.col("period")) / F.col("period")).alias("times"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("period", "first_no"))
     return found.withColumn("place", place).filter("place = 1").drop("place")
+
+
+def evict_in_stages(rows: DataFrame, *, group: str, order: list[str], tokens: str, passages: str, budget: int) -> DataFrame:
+    """rows with passages_gone and turn_gone, of a group's log that is over its budget.
+
+    First the passages of the oldest turns go, as long as the log is over the budget,
+    those of the newest turn never; then, where tokens alone are still too many, whole
+    turns, oldest first, the newest never. A turn that goes takes its passages along.
+    """
+    oldest = Window.partitionBy(group).orderBy(*order)
+    newest = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    freed = F.coalesce(F.sum(passages).over(oldest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(F.col(tokens) + F.col(passages)).over(Window.partitionBy(group))
+    earlier = F.row_number().over(Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])) > 1
+    turn = (F.sum(tokens).over(newest) + F.first(passages).over(newest) > budget) & earlier
+    first = (total - freed > budget) & earlier & (F.col(passages) > 0)
+    return rows.withColumn("turn_gone", turn).withColumn("passages_gone", first | turn)

@@ -9,6 +9,7 @@ from glossmill.functions import text as t
 from glossmill.operators import attribution, correct, index
 from glossmill.plans import rank_queries, research as pipeline
 from glossmill.plans.text_queries import answers, documents, questions
+from glossmill.session import cut
 from glossmill.sources.tables import table
 
 #: How frequent the halves of a compound must be here.
@@ -16,7 +17,7 @@ HALF_DF = 20
 
 
 def _vocabulary(spark, folder):
-    return index.doc_freq(documents(spark, folder), key="doc_id")
+    return rank_queries.doc_freq(spark, folder)
 
 
 def title_suggest(spark, folder):
@@ -62,7 +63,8 @@ def morph_expand(spark, folder):
 
 def _evidence(spark, folder):
     """The five best documents of each question, as the passages its answer may rest on."""
-    return rank_queries.bm25_topk(spark, folder).join(documents(spark, folder).select("doc_id", "text"), "doc_id").select("turn_id", "doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
+    return index.with_texts(cut(rank_queries.bm25_topk(spark, folder)), docs, key="doc_id").select("turn_id", "doc_id", "text")
 
 
 def _sentences(spark, folder):

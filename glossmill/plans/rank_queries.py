@@ -9,6 +9,7 @@ from glossmill.functions import sql
 from glossmill.functions import text as t
 from glossmill.operators import dense, index, rank
 from glossmill.plans.text_queries import documents, questions
+from glossmill.session import cut
 from glossmill.sources.tables import table
 
 POOL = 20
@@ -19,9 +20,13 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return questions(spark, folder).filter(F.col("turn_id") % 50 == 0)
 
 
+def library(spark, folder) -> index.Index:
+    return index.kept(table(spark, folder, "documents", "doc_id", "text"), key="doc_id")
+
+
 def searched(spark, folder, asked: DataFrame) -> DataFrame:
     """The best documents of each question of asked (turn_id, q)."""
-    scored = index.bm25(asked, documents(spark, folder), query="turn_id", query_text="q", key="doc_id")
+    scored = index.search(asked, library(spark, folder), query="turn_id", query_text="q", key="doc_id")
     return index.top(scored, POOL, query="turn_id", key="doc_id").select("turn_id", "doc_id", "score", "rank")
 
 
@@ -34,19 +39,21 @@ def bm25_topk(spark, folder):
 
 
 def term_stats(spark, folder):
-    n, mean = index.corpus_size(documents(spark, folder))
-    freq = index.postings(documents(spark, folder), key="doc_id").groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-    return freq.select("term", "cf", "df", F.lit(n).cast("long").alias("docs"), F.round(F.lit(mean), 6).alias("mean_len"))
+    held = library(spark, folder)
+    return held.terms.select("term", "cf", "df", F.lit(held.docs).cast("long").alias("docs"), F.round(F.lit(held.mean), 6).alias("mean_len"))
 
 
 def doc_freq(spark, folder):
-    return index.doc_freq(documents(spark, folder), key="doc_id")
+    return library(spark, folder).terms.select("term", "df")
 
 
 def _pool(spark, folder):
     """bm25_pool() with what the later steps read."""
     docs = documents(spark, folder).select("doc_id", "title", "text", "source")
-    return bm25_pool(spark, folder).join(docs, "doc_id").join(_asked(spark, folder), "turn_id")
+    return index.with_texts(cut(bm25_pool(spark, folder).join(_asked(spark, folder), "turn_id")), docs, key="doc_id")
+
+
+pool = _pool
 
 
 def _title_and_text():
@@ -80,8 +87,9 @@ def relevance_cutoff(spark, folder):
 def packets(spark, folder, asked: DataFrame) -> DataFrame:
     """(turn_id, label, doc_id, text): the passages of pack_budget for the questions of asked."""
     docs = documents(spark, folder).select("doc_id", "text")
-    pool = searched(spark, folder, asked).join(docs.select("doc_id", t.estimate_tokens("text").alias("tokens")), "doc_id")
-    return rank.pack_budget(pool, query="turn_id", item="doc_id", tokens="tokens").select("turn_id", "label", "doc_id").join(docs, "doc_id")
+    pool = index.with_texts(cut(searched(spark, folder, asked)), docs.select("doc_id", t.estimate_tokens("text").alias("tokens")), key="doc_id")
+    packed = cut(rank.pack_budget(pool, query="turn_id", item="doc_id", tokens="tokens").select("turn_id", "label", "doc_id"))
+    return index.with_texts(packed, docs, key="doc_id")
 
 
 def pack_budget(spark, folder):
@@ -132,7 +140,7 @@ def rank_lead_first(spark, folder):
 def rarity_order(spark, folder):
     """The terms of each question by document frequency, rarest first, terms that occur nowhere left out."""
     asked = _asked(spark, folder).select("turn_id", F.posexplode(t.tokens("q")).alias("at", "term")).groupBy("turn_id", "term").agg(F.min("at").alias("at"))
-    known = asked.join(index.doc_freq(documents(spark, folder), key="doc_id"), "term")
+    known = asked.join(doc_freq(spark, folder), "term")
     order = F.row_number().over(Window.partitionBy("turn_id").orderBy("df", "at"))
     return known.select("turn_id", "term", "df", order.alias("place"))
 
@@ -258,7 +266,7 @@ def eval_recall_mrr(spark, folder):
 def dense_topk(spark, folder):
     vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
     found = dense.dense_topk(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=10)
-    return found.select("vec_id", "rank", F.round("cosine", 4).alias("cosine"))
+    return found.select("vec_id", "rank", "other", F.round("cosine", 4).alias("cosine"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -318,6 +326,7 @@ _COVERAGE = f"""
         cc AS (SELECT turn_id, doc_id, rank, share AS term_coverage, len(list_filter(own, lambda x: list_contains(tt, x))) > 0 AND NOT (n >= 3 AND share < 0.34) AS title_match FROM cs),
         graded AS (SELECT *, NOT title_match AND term_coverage < 0.6 AS weak FROM cc)"""
 
+SQL_POOL = f"{_POOL} SELECT turn_id, doc_id, score, rank FROM pool"
 SQL = {
     "bm25_topk": f"{_POOL} SELECT turn_id, doc_id, score, rank FROM pool WHERE rank <= 5",
     "bm25_pool": f"{_POOL} SELECT turn_id, doc_id, score, rank FROM pool",
@@ -411,5 +420,5 @@ SQL = {
     "dense_topk": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
              c AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-        SELECT vec_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS rank FROM c) WHERE rank <= 10""",
+        SELECT vec_id, CAST(rank AS INTEGER) AS rank, other, round(s, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 6) DESC, other) AS rank FROM c) WHERE rank <= 10""",
 }

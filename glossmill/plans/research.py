@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
 from glossmill.operators import index, rank
+from glossmill.session import cut
 
 POOL, BUDGET = 20, 2000
 
@@ -25,9 +26,10 @@ def research(questions: DataFrame, docs: DataFrame, *, query: str, text: str, ke
     by_title = index.top(titles.groupBy(query, key).agg(F.count("*").cast("double").alias("score")), POOL, query=query, key=key)
     lists = by_text.select(query, F.lit(0).alias("list_no"), "rank", key).unionByName(by_title.select(query, F.lit(1).alias("list_no"), "rank", key))
     fused = rank.rrf_fuse(lists, query=query, item=key).filter(F.col("rank") <= POOL)
-    pool = fused.join(docs.select(key, group, "title", "text"), key).join(asked, query)
+    pool = index.with_texts(cut(fused.join(asked, query)), docs.select(key, group, "title", "text"), key=key)
     kept = rank.relevance_cutoff(rank.diversity_cap(pool, query=query, group=group), query=query, own_terms="own")
     kept = kept.withColumn("c", rank.coverage(F.col("own"), F.col("title"), F.col("text"), F.size("own"))).withColumn("size", t.estimate_tokens("text"))
+    kept = cut(kept.select(query, key, "rank", "c", "size"))  # read by the grades and by the packing
     grade = kept.groupBy(query).agg(F.max(F.col("c.term_coverage")).alias("coverage"), F.min(F.col("c.weak")).alias("weak"))
     packed = rank.pack_budget(kept, query=query, item=key, tokens="size", budget=BUDGET)
     status = F.when(F.col("weak").isNull(), "empty").when(F.col("weak"), "partial").otherwise("ok")

@@ -12,8 +12,6 @@ from glossmill.plans.text_queries import answers, documents
 from glossmill.sources.tables import table
 
 BUDGET = 600
-#: Subjects of lessons are a short list; more than so many are refused.
-SUBJECTS_MAX = 1000
 
 
 def _turns(spark, folder, *columns):
@@ -131,33 +129,37 @@ def percentiles(spark, folder):
     return rows.groupBy("input_kind").agg(*(F.round(F.percentile("wall_s", F.lit(p)), 6).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)))
 
 
-def p95_nearest(spark, folder):
-    """The value at the rank nearest to 0.95 (n - 1), halves to the even one."""
-    rows = _turns(spark, folder, "route", "wall_s").filter("wall_s IS NOT NULL")
-    at = F.row_number().over(Window.partitionBy("route").orderBy("wall_s", "turn_id")) - 1
-    n = F.count("*").over(Window.partitionBy("route"))
-    return rows.withColumn("at", at).withColumn("n", n).filter(F.col("at") == F.bround(0.95 * (F.col("n") - 1))).select("route", F.col("wall_s").alias("p95"))
+def nearest_p95(spark, folder):
+    """The value at the rank nearest to 0.95 (n - 1), halves to the even one; equal values are counted before they are ranked."""
+    values = _turns(spark, folder, "route", "wall_s").filter("wall_s IS NOT NULL").groupBy("route", "wall_s").agg(F.count("*").alias("times"))
+    whole = Window.partitionBy("route")
+    passed = F.sum("times").over(whole.orderBy("wall_s").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.bround(0.95 * (F.sum("times").over(whole) - 1))
+    ranked = values.withColumn("passed", passed).withColumn("at", at)
+    return ranked.filter((F.col("at") < F.col("passed")) & (F.col("at") >= F.col("passed") - F.col("times"))).select("route", F.col("wall_s").alias("p95"))
 
 
 def gate_verdict(spark, folder):
     """Each route against the plain baseline of all turns: passes if it is no slower and resolves no fewer citations."""
     rows = _turns(spark, folder, "route", "wall_s", "citations", "citations_resolved")
-    metrics = [F.percentile("wall_s", F.lit(0.5)).alias("wall"), (F.sum("citations_resolved") / F.nullif(F.sum("citations"), F.lit(0))).alias("rate")]
-    base = rows.agg(*[m for m in metrics]).first()
-    by = rows.groupBy("route").agg(*metrics)
-    passes = (F.col("wall") <= F.lit(base.wall)) & (F.round("rate", 9) >= F.lit(round(base.rate or 0.0, 9)))
-    return by.select("route", F.round("wall", 6).alias("wall"), F.round("rate", 6).alias("rate"), F.when(passes, "PASS").otherwise("FAIL").alias("verdict"))
+    rate = F.sum("citations_resolved") / F.nullif(F.sum("citations"), F.lit(0))
+    # the row for all turns is one of the grouping sets, and is put beside each route by a window over these few rows
+    by = rows.groupingSets([["route"], []], "route").agg(F.percentile("wall_s", F.lit(0.5)).alias("wall"), rate.alias("rate"), F.grouping("route").alias("all"))
+    base = Window.partitionBy(F.lit(1))
+    beside = by.withColumn("base_wall", F.max(F.when(F.col("all") == 1, F.col("wall"))).over(base)).withColumn("base_rate", F.coalesce(F.max(F.when(F.col("all") == 1, F.col("rate"))).over(base), F.lit(0.0)))
+    passes = (F.col("wall") <= F.col("base_wall")) & (F.round("rate", 9) >= F.round("base_rate", 9))
+    return beside.filter(F.col("all") == 0).select("route", F.round("wall", 6).alias("wall"), F.round("rate", 6).alias("rate"), F.when(passes, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def route_sources(spark, folder):
     """The archives that a lesson's subject is searched in, in order: tier 1, tier 2, then tier 3 of that subject."""
-    archives = table(spark, folder, "archives").distinct().filter("searchable")
-    subjects = [r.subject for r in table(spark, folder, "lessons", "subject").filter("subject IS NOT NULL").distinct().limit(SUBJECTS_MAX + 1).collect()]
-    if len(subjects) > SUBJECTS_MAX:
-        raise ValueError(f"more than {SUBJECTS_MAX} subjects")
-    listed = F.array(*map(F.lit, subjects)) if subjects else F.array().cast("array<string>")
-    wanted = F.when(F.col("tier") <= 2, listed).otherwise(F.array_intersect("subjects", listed))
-    routed = archives.select("archive_id", "tier", F.explode(wanted).alias("subject"))
+    archives = table(spark, folder, "archives", "archive_id", "tier", "subjects", "searchable").distinct().filter("searchable")
+    subjects = table(spark, folder, "lessons", "subject").filter("subject IS NOT NULL").distinct()
+    special = archives.filter("tier > 2").select("archive_id", "tier", F.explode(F.array_distinct("subjects")).alias("subject")).join(subjects, "subject", "left_semi")
+    # those of the first tiers serve every subject: both sides meet over the tier's number
+    general = archives.filter("tier <= 2").select("archive_id", "tier")
+    every = subjects.withColumn("tier", F.explode(F.array(F.lit(1), F.lit(2))))
+    routed = general.join(every, "tier").select("archive_id", "tier", "subject").unionByName(special.select("archive_id", "tier", "subject"))
     return routed.select("subject", "archive_id", "tier", F.row_number().over(Window.partitionBy("subject").orderBy("tier", "archive_id")).alias("place"))
 
 
@@ -295,7 +297,7 @@ def events_session(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     snapshot_upsert, turns_with_seq, turn_reduce, conv_tokens, token_growth, evict_turns, first_seen_vs_pointer, relabel, resolve_citations, dangling_calls,
-    repetition_runs, turn_rollup, answer_rollup, toolcall_summary, micro_backed_rate, percentiles, p95_nearest, gate_verdict, route_sources, latest_version,
+    repetition_runs, turn_rollup, answer_rollup, toolcall_summary, micro_backed_rate, percentiles, nearest_p95, gate_verdict, route_sources, latest_version,
     catalog_plan, backfill_verify, scan_articles, section_tree, resolve_redirects, key_fact_runs, chunk_passages, html_text, internal_links, calc,
     budget_scaled, cycle_script, json_salvage, events_props_json, sse_parse, events_tumbling, events_sliding, events_session,
 )}
@@ -348,7 +350,7 @@ SQL = {
         FROM (SELECT route, unnest(research_statuses) AS o FROM {_T.format('turn_id, route, research_statuses')}) GROUP BY route""",
     "micro_backed_rate": f"""SELECT subject, CAST(sum(citations) AS BIGINT) AS citations, round(sum(citations_resolved) / nullif(sum(citations), 0), 6) AS rate FROM {_T.format('turn_id, subject, citations, citations_resolved')} WHERE subject IS NOT NULL GROUP BY ROLLUP (subject)""",
     "percentiles": f"""SELECT input_kind, round(quantile_cont(wall_s, 0.5), 6) AS p50, round(quantile_cont(wall_s, 0.95), 6) AS p95, round(quantile_cont(wall_s, 0.99), 6) AS p99 FROM {_T.format('turn_id, input_kind, wall_s')} WHERE wall_s IS NOT NULL GROUP BY input_kind""",
-    "p95_nearest": f"""
+    "nearest_p95": f"""
         WITH r AS (SELECT route, wall_s, row_number() OVER (PARTITION BY route ORDER BY wall_s, turn_id) - 1 AS i, count(*) OVER (PARTITION BY route) AS n FROM {_T.format('turn_id, route, wall_s')} WHERE wall_s IS NOT NULL)
         SELECT route, wall_s AS p95 FROM r WHERE i = round_even(0.95 * (n - 1), 0)""",
     "gate_verdict": f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_queries", "rank_queries", "store_queries", "answer_queries", "more_queries")
+MODULES = ("text_queries", "rank_queries", "store_queries", "answer_queries", "more_queries", "evidence_queries")
 
 
 def _modules():

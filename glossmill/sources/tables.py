@@ -9,13 +9,3 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """The table as it lies in the folder; columns: only these are read."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files make fewer partitions than there are cores.
-
-    For work that is heavy on each row. Tables of many files, as they are at scale,
-    stay as they were read and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

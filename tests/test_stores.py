@@ -110,3 +110,22 @@ def test_upsert_sink_replays(spark, tmp_path):
     for batch in (0, 0, 1):
         write(df, batch)
     assert [(r.k, r.v) for r in events.read_upserted(spark, str(tmp_path), key="k", at="at").collect()] == [("a", "x")]
+
+
+def test_chains_of_any_length_and_circles(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("n40", None), ("a", "b"), ("b", "c"), ("c", "b"), ("x", "gone"), ("s", "s"), (None, "a")]
+    got = {r.node: (r.root, r.hops, r.status) for r in logs.resolve_chain(spark.createDataFrame(links, "node string, target string"), node="node", target="target").collect()}
+    assert got["n0"] == ("n40", 40, "too_deep") and got["n15"] == ("n40", 25, "ok") and got["n40"] == ("n40", 0, "ok")
+    assert got["x"] == ("gone", 1, "not_found") and all(got[n] == (None, None, "cycle") for n in "abcs") and len(got) == 46
+    assert logs.resolve_chain(spark.createDataFrame([], "node string, target string"), node="node", target="target").collect() == []
+
+
+def test_logs_are_evicted_in_stages(spark):
+    rows = [("a", n, 100, 80) for n in range(4)] + [("b", 0, 900, 80), ("c", 0, 10, 10), ("c", 1, 20, 0)]
+    df = spark.createDataFrame(rows, "g string, n int, tokens long, passages long")
+    got = {(r.g, r.n): (r.passages_gone, r.turn_gone) for r in logs.evict_in_stages(df, group="g", order=["n"], tokens="tokens", passages="passages", budget=500).collect()}
+    # 720 in all: three turns' passages go, the newest keeps its own; 480 are left
+    assert [got["a", n] for n in range(4)] == [(True, False)] * 3 + [(False, False)]
+    assert got["b", 0] == (False, False) and got["c", 0] == (False, False)
+    got = {r.n: r.turn_gone for r in logs.evict_in_stages(df.filter("g = 'a'"), group="g", order=["n"], tokens="tokens", passages="passages", budget=300).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False}

@@ -69,3 +69,24 @@ def test_small_ones(spark):
     assert [one(spark, v, t.message_class("x", ["fault"])) for v in ("thank you, lol", "a f4ult", "tides", "", None)] == ["chat", "decline", "normal", "normal", "normal"]
     assert one(spark, " ".join("abcdefghij"), t.pointer(F.lit("T"), "x")) == "(already shown above) T — a b c d e f g h…"
     assert one(spark, "How many degrees?", t.asks_for_quantity("x")) is True
+
+
+def test_spans_of_a_text(spark):
+    from glossmill.operators import spans
+
+    text = "One. Two [S1] is. Three\n```\nx = 1\n```\n| a | b |\n|---|---|\n| c | d |\n- item\n\nend"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "```\nopen")], "k long, t string")
+    numbered = spans.lines(df, key="k", text="t")
+    rows = spans.kinds(spans.outside_code(numbered, key="k"), key="k").orderBy("k", "no").collect()
+    assert [r.kind for r in rows] == ["paragraph", "header", "separator", "table_row", "item", "blank", "paragraph"]
+    assert all(text[r.start : r.end] == r.line for r in rows)
+    said = df.filter("k = 1").select(spans.sentence_around("t", F.instr("t", "[S"))).first()[0]
+    assert said == "Two [S1] is."
+
+
+def test_windows_are_trimmed_at_the_far_edge(spark):
+    from glossmill.operators import spans
+
+    df = spark.createDataFrame([(1000, 0, 100), (1000, 500, 600), (1000, 950, 1000)], "n long, a long, b long")
+    rows = df.select(spans.window_around(F.col("n"), F.col("a"), F.col("b"), reach=200, most=250).alias("v")).select("v.*").collect()
+    assert [(r.low, r.high) for r in rows] == [(0, 250), (500, 750), (750, 1000)]
