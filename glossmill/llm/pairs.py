@@ -142,17 +142,18 @@ def next_longer(answers: DataFrame, *, text: str = "answer") -> DataFrame:
 def begun_sentences(doubtful: DataFrame, answers: DataFrame) -> DataFrame:
     """(stem): the doubtful sentences that begin as a complete sentence next to them in the sorted order does.
 
-    Digits count as alike. Of the answers' sentences those are sorted that begin with
-    the first characters of a doubtful one; what isn't next to it has no longer common
-    prefix with it.
+    Digits count as alike. Only sentences that begin with as many characters of a doubtful one
+    are sorted, as others can't have so long a common prefix with it.
     """
     shown = doubtful.select("stem", F.regexp_replace("stem", r"\d", "0").alias("masked")).distinct()
     doubtful = shown.select(F.col("masked").alias("stem"))
-    least = F.when(F.col("stem").rlike("[⺀-鿿가-힯]"), BEGUN_WIDE).otherwise(BEGUN)
-    stems = doubtful.select("stem").distinct().withColumn("head", F.expr("substring(stem, 1, 3)"))
-    sentences = answers.select(F.explode(F.split("stem", r"(?<=[.!?])\\s+|\n+|(?<=[。！？])")).alias("s"))
+    wide = F.col("stem").rlike("[⺀-鿿가-힯]")
+    headed = lambda df: df.withColumn("head", F.when(wide, F.substring("stem", 1, BEGUN_WIDE)).otherwise(F.substring("stem", 1, BEGUN)))
+    least = F.when(wide, BEGUN_WIDE).otherwise(BEGUN)
+    stems = headed(doubtful.distinct())
+    sentences = answers.select(F.explode(F.split("stem", r"(?<=[.!?])\s+|\n+|(?<=[。！？])")).alias("s"))
     complete = sentences.filter(F.col("s").rlike(r"[.!?。！？](?:[\"'”’»)\]* ]|\[S[^\]]*\])*$")).select(F.regexp_replace(F.trim("s"), r"\d", "0").alias("stem"))
-    complete = _known(complete.withColumn("head", F.expr("substring(stem, 1, 3)")), stems.select("head").distinct(), "head", "stem").select("stem").distinct()
+    complete = cut(_known(headed(complete), stems.select("head").distinct(), "head", "stem").select("stem").distinct())
     near = _in_order(complete.withColumn("whole", F.lit(True)).unionByName(stems.select("stem").withColumn("whole", F.lit(False))), text="stem").filter("NOT whole")
     start = F.expr("left(stem, least)")
     same = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).startswith(start), F.lit(False)) for c in ("before", "after")))
