@@ -5,8 +5,8 @@ Pieces are dealt to shards of about SHARD_ITEMS by a hash, and each shard fills
 its containers by sum-of-squares packing: a piece goes to the fill level for
 which the sum of the squared numbers of open containers a level grows least.
 The emptiest containers of a shard are opened again at its end, and their pieces
-packed anew with those of FAN_IN - 1 other shards, largest first, until one shard
-of such rests remains. A shard passes on at most SHARD_ITEMS / FAN_IN pieces, so
+packed anew in the same way with those of FAN_IN - 1 other shards, largest first,
+until one shard of such rests remains. A shard passes on at most SHARD_ITEMS / FAN_IN pieces, so
 no group is ever larger than a shard, however many documents there are.
 """
 
@@ -67,41 +67,19 @@ def _price(levels: np.ndarray, cost: np.ndarray, gain: np.ndarray, level: int) -
     gain[level] = 1 - 2 * n if n else np.iinfo(np.int32).max
 
 
-def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """As sum_of_squares(), but largest first, each into the fullest container that holds it."""
-    free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    some = np.zeros(capacity + 1, bool)
-    where = np.empty(len(sizes), np.int64)
-    fills: list[int] = []
-    for n in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[n])
-        step = int(some[size:].argmax())
-        room = size + step
-        if some[room]:
-            container = free[room].pop()
-            some[room] = bool(free[room])
-        else:
-            container, room = len(fills), capacity
-            fills.append(0)
-        where[n] = container
-        fills[container] += size
-        if left := room - size:
-            free[left].append(container)
-            some[left] = True
-    return where, np.asarray(fills, np.int64)
-
-
 def _packed(items: DataFrame, key_type: str, first: bool) -> DataFrame:
     """items with their container and whether it is opened again; one task for each capacity and shard."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         capacity, shard = int(pdf["capacity"].iat[0]), int(pdf["shard"].iat[0])
-        # an order that doesn't depend on how rows arrived, and isn't by size, as the packing is online
-        pdf = pdf.sort_values(["order", "key", "piece_no"], kind="stable", ignore_index=True)
+        # first in an order that isn't by size, as the packing is online; the rests of shards largest first
+        pdf = pdf.sort_values(["order", "row", "piece_no"], kind="stable", ignore_index=True)
+        if not first:
+            pdf = pdf.sort_values("n_tokens", ascending=False, kind="stable", ignore_index=True)
         sizes = pdf["n_tokens"].to_numpy(np.int64)
         some = sizes > 0
         where = np.zeros(len(sizes), np.int64)
-        where[some], fills = (sum_of_squares if first else best_fit_decreasing)(sizes[some], capacity)
+        where[some], fills = sum_of_squares(sizes[some], capacity)
         if not len(fills):
             fills = np.zeros(1, np.int64)
         pieces = np.bincount(where, minlength=len(fills))
@@ -110,7 +88,7 @@ def _packed(items: DataFrame, key_type: str, first: bool) -> DataFrame:
         again[emptiest] = (np.cumsum(pieces[emptiest]) <= SHARD_ITEMS // FAN_IN) & (fills[emptiest] < FULL * capacity)
         return pdf.assign(container=(shard << 32) + where, again=again[where])
 
-    schema = f"capacity int, shard long, order long, key {key_type}, piece_no long, token_start long, n_tokens long"
+    schema = f"capacity int, shard long, order long, row long, key {key_type}, piece_no long, token_start long, n_tokens long"
     return items.groupBy("capacity", "shard").applyInPandas(run, schema + ", container long, again boolean")
 
 
@@ -121,13 +99,14 @@ def pack(sizes: DataFrame, capacities: list[int], *, key: str = "doc_id", size:
     a rest; any other is one piece. Null and 0 sizes are one piece of 0 tokens, in
     a container of their shard, which need not be theirs alone. Container numbers
     say nothing but which pieces are together, within one capacity. Repeated and
-    null keys are rows like others. No rows or no capacities give no rows.
+    null keys are rows like others: pieces are dealt by row, so those of one key, however
+    many, are spread over all shards. No rows or no capacities give no rows.
     """
     if not capacities or min(capacities) < 1:
         return _empty(sizes, key)
     key_type = sizes.schema[key].dataType.simpleString()
     n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    known = cut(sizes.select(F.col(key).alias("key"), n.alias("n")))
+    known = cut(sizes.select(F.col(key).alias("key"), n.alias("n"))).withColumn("row", F.monotonically_increasing_id())
     totals = known.agg(*(F.sum(F.greatest(F.ceil(F.col("n") / c), F.lit(1))).alias(str(c)) for c in capacities)).first()
     shards = {c: ceil((totals[str(c)] or 0) / SHARD_ITEMS) for c in capacities}
     if not any(shards.values()):
@@ -135,12 +114,12 @@ def pack(sizes: DataFrame, capacities: list[int], *, key: str = "doc_id", size:
 
     table = F.array(*(F.struct(F.lit(c).cast("int").alias("capacity"), F.lit(shards[c]).cast("long").alias("shards")) for c in capacities))
     pieces = (
-        known.select("key", "n", F.inline(table))
+        known.select("key", "n", "row", F.inline(table))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0)))))
         .withColumn("token_start", F.col("piece_no") * F.col("capacity"))
-        .withColumn("order", F.xxhash64("key", "piece_no"))
+        .withColumn("order", F.xxhash64("row", "piece_no"))
         .select(
-            "capacity", F.pmod("order", "shards").alias("shard"), "order", "key", "piece_no", "token_start",
+            "capacity", F.pmod("order", "shards").alias("shard"), "order", "row", "key", "piece_no", "token_start",
             F.least(F.col("capacity").cast("long"), F.col("n") - F.col("token_start")).alias("n_tokens"),
         )
     )

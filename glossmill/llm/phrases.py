@@ -123,6 +123,49 @@ questa pagina richiede
 abilita
 esta página requer
 ative
+allow
+erreur
+fehler
+errore
+erro
+this app
+this application
+questo sito richiede
+questo sito
+este site requer
+cette application
+esta aplicación
+diese anwendung
+ce site
+este sitio
+diese website
+le lien
+el enlace
+der link
+le fichier
+el archivo
+die datei
+la ressource
+el recurso
+die ressource
+la conexión
+la connexion
+die verbindung
+la base de datos
+la base de données
+die datenbank
+la demande
+la requête
+la solicitud
+die anfrage
+la session
+la sesión
+die sitzung
+désolé,
+lo sentimos,
+leider
+desculpe,
+spiacenti,
 """
 
 ERRORS = """
@@ -281,6 +324,72 @@ não foi encontrada
 发生错误
 出错了
 已过期
+access denied
+access is denied
+access forbidden
+permission denied
+page not found
+accès refusé
+accès interdit
+page introuvable
+page non trouvée
+ressource introuvable
+erreur interne du serveur
+erreur de serveur
+délai d'attente dépassé
+n'a pas pu être affichée
+n'a pas pu être affiché
+n'a pas pu être trouvé
+n'a pas pu être chargé
+n'a pas été trouvé
+est vide
+a été déplacée
+a été déplacé
+a été supprimé
+ne répond pas
+ne peut pas être affichée
+ne peut pas être affiché
+acceso denegado
+acceso prohibido
+página no encontrada
+recurso no encontrado
+error interno del servidor
+tiempo de espera agotado
+no se pudo mostrar
+no se pudo encontrar
+no se puede mostrar
+ha sido eliminada
+ha sido eliminado
+ha sido movida
+fue eliminada
+ya no está disponible
+zugriff verweigert
+zugriff nicht erlaubt
+seite nicht gefunden
+interner serverfehler
+zeitüberschreitung
+konnte nicht angezeigt werden
+kann nicht angezeigt werden
+wurde gelöscht
+wurde verschoben
+wurde entfernt
+ist nicht mehr verfügbar
+ist leer
+accesso negato
+pagina non trovata
+acesso negado
+página não encontrada
+禁止访问
+访问受限
+请求超时
+连接超时
+页面无法显示
+无法打开
+服务器无响应
+服务器没有响应
+内容不存在
+链接已失效
+已被删除
 """
 
 SCRIPTS = """
@@ -299,6 +408,11 @@ skripte
 scripts no navegador
 脚本
 javascript后
+cookies
+javascript support
+javascript activé
+javascript activado
+javascript aktiviert
 """
 
 TAILS = """
@@ -368,6 +482,39 @@ the page
 后刷新
 在浏览器中
 nel browser
+to this article
+to this page
+to this entry
+to this resource
+to work
+to work properly
+to function
+to run
+per funzionare
+para funcionar
+pour fonctionner
+um zu funktionieren
+à cet article
+à cette page
+à cette entrée
+à cette ressource
+a este artículo
+a esta página
+a este recurso
+a esta entrada
+auf diesen artikel
+auf diese seite
+auf diese ressource
+auf diesen eintrag
+pour le moment
+por el momento
+en este momento
+zurzeit
+derzeit
+为该页面
+此页面
+本页面
+该文章
 """
 
 WHOLE = """
@@ -562,6 +709,84 @@ noch auszufüllen
 inserisci qui il testo
 testo segnaposto
 insira o texto aqui
+error
+erreur
+fehler
+pendiente
+pendiente de redactar
+pendiente de completar
+pendiente de revisión
+por redactar
+por escribir
+por definir
+texto pendiente
+contenido pendiente
+en construcción
+página en construcción
+próximamente
+contenido próximamente
+añadir texto
+añada texto aquí
+sustituya este texto
+sustituya este texto por el suyo
+haga clic para editar
+título aquí
+à écrire
+à définir
+à remplir
+contenu à venir
+en construction
+page en construction
+bientôt disponible
+ajouter du texte
+ajoutez votre texte ici
+écrivez ici
+écrivez votre texte ici
+cliquez pour modifier
+titre ici
+noch zu schreiben
+noch zu verfassen
+noch zu ergänzen
+noch zu erstellen
+wird noch ergänzt
+wird noch geschrieben
+text folgt
+inhalt folgt
+im aufbau
+seite im aufbau
+demnächst verfügbar
+text hinzufügen
+hier schreiben
+titel hier einfügen
+zum bearbeiten klicken
+待撰写
+待编写
+待定
+内容待补充
+内容待定
+内容建设中
+页面建设中
+建设中
+敬请期待
+点击编辑
+在此输入文字
+此处插入图片
+请填写内容
+testo in arrivo
+in costruzione
+pagina in costruzione
+em construção
+página em construção
+em breve
+write your introduction here
+add introduction here
+add an introduction
+add summary here
+content to be added
+text to be added
+to be filled in
+this section is empty
+this section needs content
 """
 
 SURE = """
@@ -578,6 +803,25 @@ warning: mysql
 operationalerror:
 you have an error in your sql syntax
 nullpointerexception
+err_connection_timed_out
+err_connection_refused
+err_connection_reset
+err_name_not_resolved
+err_internet_disconnected
+err_too_many_redirects
+dns_probe_finished
+checking your browser before accessing
+this site can't be reached
+this page isn't working
+this webpage is not available
+your connection is not private
+please complete the security check
+verify you are human
+verifying you are human
+are you a robot
+segmentation fault
+unhandled exception
+parse error: syntax error
 """
 
 #: Words that, said over and over, fill space.

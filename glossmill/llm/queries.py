@@ -32,7 +32,7 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def p1_exact(spark: SparkSession, folder: str) -> DataFrame:
     """The most similar vectors of those whose id is divisible by 50, against all, by comparing them all."""
     near = neighbours.exact_nearest(_vectors(spark, folder)).select("vec_id", F.posexplode("near").alias("place", "n"))
-    return near.select("vec_id", (F.col("place") + 1).alias("place"), F.round(-F.col("n.far"), 4).alias("cosine"))
+    return near.select("vec_id", (F.col("place") + 1).alias("place"), F.col("n.id").alias("other"), F.round(-F.col("n.far"), 4).alias("cosine"))
 
 
 def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,6 +144,15 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity the documents that are packed, containers over it, and documents divided although they would fit."""
+    pieces = p6_containers(spark, folder)
+    over = pieces.groupBy("capacity", "container").agg(F.sum("n_tokens").alias("fill")).groupBy("capacity").agg(F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"))
+    whole = pieces.groupBy("capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    divided = whole.groupBy("capacity").agg(F.count("*").alias("docs"), F.count_if((F.col("n") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("divided"))
+    return divided.join(over, "capacity").select("capacity", "docs", "overfull", "divided")
+
+
 def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_kind(table(spark, folder, "documents", "doc_id", "text")).filter("kind IS NOT NULL")
 
@@ -176,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_round_trip": p5_round_trip,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_invariants": p6_invariants,
     "p7_found": p7_found,
     "p7_kinds": p7_kinds,
     "p7_kept": p7_kept,
@@ -205,8 +215,8 @@ SQL: dict[str, str] = {
         WITH {_USABLE},
              c AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS s, b.vec_id AS o
                    FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-        SELECT vec_id, CAST(place AS INTEGER) AS place, round(s, 4) AS cosine
-        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, o) AS place FROM c) WHERE place <= 10""",
+        SELECT vec_id, CAST(place AS INTEGER) AS place, o AS other, round(s, 4) AS cosine
+        FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, o) AS place FROM c) WHERE place <= 10""",
     "p2_found": f"""
         WITH {_LINES}
         SELECT DISTINCT passage_id, CAST(nr AS INTEGER) AS line_no FROM l SEMI JOIN f USING (archive_id, letters) WHERE passage_id IS NOT NULL""",
@@ -229,6 +239,9 @@ SQL: dict[str, str] = {
     "p4_files": """
         SELECT archive_id, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, CAST(sum(length(text) + 1) AS BIGINT) AS covered, CAST(0 AS BIGINT) AS too_long
         FROM snapshots WHERE text IS NOT NULL GROUP BY archive_id""",
+    "p6_invariants": """
+        SELECT DISTINCT capacity, (SELECT count(*) FROM documents) AS docs, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS divided
+        FROM size_specs WHERE used_for = 'container'""",
     "p5_round_trip": """
         SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars
         FROM documents""",

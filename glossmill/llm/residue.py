@@ -42,6 +42,7 @@ PLACEHOLDERS = [
     r"(?i:\[insert [^\]\n]{1,60}\])",
     r"(?i:\[your [^\]\n]{1,60} here\])",
     r"(?i:\[[^\]\n]{1,60} tbd\])",
+    r"(?i:\[(?:todo|tbd|tba|fixme|placeholder)\b[^\]\n]{0,80}\])",
     r"(?<![\w\\}^])(?<!\$)\{[A-Za-z][A-Za-z]+(?:[_. ][A-Za-z0-9]+)*\}(?!\$)",
     r"(?<![\w%])%[A-Za-z][A-Za-z]+(?:[_. ][A-Za-z0-9]+)*%(?![\w%])",
     r"(?<![\w~])~[A-Za-z][A-Za-z]+(?:[_. ][A-Za-z0-9]+)*~(?![\w~])",
@@ -50,7 +51,7 @@ PLACEHOLDERS = [
 ]
 PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
 #: Signs of which a placeholder has at least one.
-SIGNS = ["{", "$(", "<", "@@", "[[", "[insert ", "[your ", " tbd]", "%", "~", "__"]
+SIGNS = ["{", "$(", "<", "@@", "[[", "[insert ", "[your ", " tbd]", "[todo", "[tbd", "[tba", "[fixme", "[placeholder", "%", "~", "__"]
 #: Names between < and > or between __ that are markup or code.
 MARKUP = set(
     "a abbr article aside audio b blockquote body br button caption center code col dd del details div dl dt em fieldset figcaption figure footer "
@@ -58,6 +59,11 @@ MARKUP = set(
     "option p param path pre progress q s samp script section select small source span strong style sub summary sup svg table tbody td template "
     "textarea tfoot th thead time title tr track tt u ul var video wbr init main name str repr eq len iter next call dict doc file all".split()
 ) - {"title", "caption", "name", "source", "time", "label", "summary"}
+#: Words of texts whose subject is markup or settings, in which bare marks such as <title> or %PATH% are named, not left over.
+SUBJECT = re.compile(r"(?i)\b(?:html|xml|css|markup|tags?|elements?|attributes?|variables?|environment|windows|shell|command line|syntax|balises?|etiquetas?|umgebungsvariablen?)\b|标签|变量")
+#: What happens to things in any text; in a line with other sentences it needs a phrase that follows such notices too.
+COMMON = re.compile(r"\b(?:was|has been|is|were) (?:interrupted|cancelled|rejected|blocked|refused|reset|moved|removed|deleted|locked|restricted|empty|broken|unavailable|not available|not found)\b|\b(?:could not|couldn't|cannot|can't|can not) be (?:found|opened|reached|read|saved|completed|verified|shown|retrieved|established)\b|\bno longer exists?\b|\bdo(?:es)? not exist\b|\bdoesn't exist\b|\btimed out\b|\bhas expired\b")
+OPENED = re.compile(r"(?:http )?(?:error|erreur|fehler|errore|erro|oops|sorry|something went wrong|00\d)\b")
 UNSET_VALUE = re.compile(r"(?<![\w/-])(?:NaN|null|undefined|None(?! of\b)|NaN/NaN/NaN|\[object Object\])(?![\w/-])")
 UNSET_SURE = re.compile(r"(?i)nan/nan/nan|\[object object\]")
 UNIT_END = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
@@ -107,14 +113,16 @@ class Finder:
         if not any(_bounded(low, end + 1 - length, end + 1) for end, length in self.first.iter(low)):
             return None
         text = FORMULA.sub(_keep_placeholders, SHOWN.sub(" ", CODE.sub("\n", text)))
-        for unit in UNIT_END.split(text):
-            unit = " ".join(unit.split())
-            if unit and (kind := self.unit_kind(unit)):
-                return kind
+        for line in text.split("\n"):
+            units = [u for u in (" ".join(u.split()) for u in UNIT_END.split(line)) if u]
+            for unit in units:
+                if kind := self.unit_kind(unit, alone=len(units) == 1):
+                    return kind
         return None
 
-    def unit_kind(self, unit: str) -> str | None:
-        if any(_is_field(m.group()) for m in PLACEHOLDER.finditer(unit)):
+    def unit_kind(self, unit: str, alone: bool = True) -> str | None:
+        """The kind of residue of a line or sentence; alone: whether its line has no other."""
+        if any(_is_field(m.group(), unit) for m in PLACEHOLDER.finditer(unit)):
             return "placeholder"
         if UNSET_SURE.search(unit) or len(UNSET_VALUE.findall(unit)) >= UNSET:
             return "unset_value"
@@ -127,9 +135,9 @@ class Finder:
         bare = folded.strip(" .!…:;]*-_#>\"'")
         if bare in self.whole or re.sub(r"0+", "000", bare) in self.whole:
             return _named(bare)
-        return self._notice(folded)
+        return self._notice(folded, alone)
 
-    def _notice(self, folded: str) -> str | None:
+    def _notice(self, folded: str, alone: bool) -> str | None:
         """The kind of notice if one run of phrases is most of the unit, or ends it and is a whole sentence of its own."""
         spans = []
         for end, (length, roles) in self.parts.iter(folded):
@@ -140,6 +148,8 @@ class Finder:
             return None
         if any("sure" in roles for *_, roles in spans):
             return "error"
+        if not alone and COMMON.search(folded) and not OPENED.match(folded) and not any("tail" in roles for *_, roles in spans):
+            return None
         letters = len(LETTER.findall(folded))
         spans.sort()
         runs: list[list] = []
@@ -179,7 +189,10 @@ def _keep_placeholders(match: re.Match) -> str:
     return match.group() if PLACEHOLDER.fullmatch(match.group()) else " "
 
 
-def _is_field(found: str) -> bool:
+def _is_field(found: str, unit: str) -> bool:
+    """Whether what looks like a placeholder is one; bare marks aren't in a unit about markup or settings."""
+    if found[0] in "<%~_" and not found.startswith(("<<", "<%")) and SUBJECT.search(unit):
+        return False
     name = re.sub(r"[^\w. ]", "", found).strip("_ ").lower()
     if found.startswith(("<", "__")) and not found.startswith(("<<", "<%")):
         return name not in MARKUP and not re.fullmatch(r"h[1-6]", name)
@@ -195,7 +208,7 @@ def _bounded(text: str, start: int, stop: int) -> bool:
 
 
 def _named(bare: str) -> str:
-    words = ("found", "forbidden", "denied", "unavailable", "error", "wrong", "request", "encontr", "introuvable", "gefunden", "fehler", "不存在", "timeout", "gateway", "unauthorized")
+    words = ("found", "forbidden", "denied", "unavailable", "error", "wrong", "request", "encontr", "introuvable", "gefunden", "fehler", "不存在", "timeout", "gateway", "unauthorized", "erreur", "errore", "refus", "deneg", "verweigert")
     return "error" if any(w in bare for w in words) else "instruction"
 
 
