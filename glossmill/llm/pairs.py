@@ -38,8 +38,8 @@ SPIKE_LEAST, SPIKE_TIMES, SPIKE_NEAR = 25, 6.0, 8
 
 #: Characters that a sentence in doubt has to share with a complete one next to it in the sorted order; of wide scripts fewer.
 BEGUN, BEGUN_WIDE = 7, 3
-#: Tasks that the rows of one key are dealt to in joins with evidence.
-SALTS = 8
+#: Tasks that the rows of one key are dealt to in joins with evidence; beginnings of sentences are broadcast up to so many rows.
+SALTS, BROADCAST_ROWS = 8, 100_000
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 
@@ -145,22 +145,30 @@ def begun_sentences(doubtful: DataFrame, answers: DataFrame) -> DataFrame:
     Digits count as alike. Only sentences that begin with as many characters of a doubtful one
     are sorted, as others can't have so long a common prefix with it.
     """
-    shown = doubtful.select("stem", F.regexp_replace("stem", r"\d", "0").alias("masked")).distinct()
-    doubtful = shown.select(F.col("masked").alias("stem"))
-    wide = F.col("stem").rlike("[⺀-鿿가-힯]")
-    headed = lambda df: df.withColumn("head", F.when(wide, F.substring("stem", 1, BEGUN_WIDE)).otherwise(F.substring("stem", 1, BEGUN)))
-    least = F.when(wide, BEGUN_WIDE).otherwise(BEGUN)
-    stems = headed(doubtful.distinct())
+    shown = cut(doubtful.select("stem", _masked("stem").alias("masked")).distinct())
+    least = F.when(F.substring("stem", 1, BEGUN_WIDE).rlike("[⺀-鿿가-힯]"), BEGUN_WIDE).otherwise(BEGUN)
+    start = F.expr("left(stem, least)")
+    stems = shown.select(F.col("masked").alias("stem")).distinct().withColumn("least", least)
+    heads = stems.select(start.alias("head")).distinct()
     sentences = answers.select(F.explode(F.split("stem", r"(?<=[.!?])\s+|\n+|(?<=[。！？])")).alias("s"))
-    complete = sentences.filter(F.col("s").rlike(r"[.!?。！？](?:[\"'”’»)\]* ]|\[S[^\]]*\])*$")).select(F.regexp_replace(F.trim("s"), r"\d", "0").alias("stem"))
-    complete = cut(_known(headed(complete), stems.select("head").distinct(), "head", "stem").select("stem").distinct())
+    sentences = sentences.select(F.trim("s").alias("stem")).withColumn("least", least)
+    sentences = sentences.withColumn("head", _masked(start))
+    if shown.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        begun = sentences.join(F.broadcast(heads), "head", "left_semi")
+    else:
+        begun = _known(sentences, heads, "head", "stem")
+    complete = begun.filter(F.col("stem").rlike(r"[.!?。！？](?:[\"'”’»)\]* ]|\[S[^\]]*\])*$")).select(_masked("stem").alias("stem"))
+    complete = cut(complete.distinct())
     near = _in_order(complete.withColumn("whole", F.lit(True)).unionByName(stems.select("stem").withColumn("whole", F.lit(False))), text="stem").filter("NOT whole")
-    start = F.expr("left(stem, least)")
     same = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).startswith(start), F.lit(False)) for c in ("before", "after")))
     found = near.withColumn("least", least).filter(same).select(F.col("stem").alias("masked"))
     return _known(shown, found, "masked", "stem").select("stem")
 
 
+def _masked(text):
+    return F.translate(text, "123456789", "000000000")
+
+
 def _known(rows: DataFrame, keys: DataFrame, on: str, salt: str = "turn_id") -> DataFrame:
     """rows with the columns of keys, where they are among these.
 
