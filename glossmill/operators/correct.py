@@ -38,12 +38,14 @@ def spelling(unknown: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, best, df): for each term of four letters or more the most frequent word within two edits and with the same first letters.
 
     vocabulary: (term, df). Words rarer than LEAST_DF aren't taken; equally frequent
-    ones by alphabet. Candidates meet over their first PREFIX letters, and pass a
-    bound in the JVM before the distance is computed.
+    ones by alphabet. Candidates meet over their first PREFIX letters and their length,
+    a term at each length within reach, and pass a bound in the JVM before the distance
+    is computed.
     """
     asked = unknown.select("term").distinct().filter(F.length("term") >= 4).withColumn("head", F.substring("term", 1, PREFIX))
-    known = vocabulary.filter(F.col("df") >= LEAST_DF).select(F.col("term").alias("word"), "df", F.substring("term", 1, PREFIX).alias("head"))
-    near = asked.join(known, "head").filter((F.abs(F.length("term") - F.length("word")) <= MAX_EDITS) & (F.levenshtein("term", "word", 2 * MAX_EDITS) >= 0) & (F.col("term") != F.col("word")))
+    asked = asked.withColumn("n", F.explode(F.sequence(F.length("term") - MAX_EDITS, F.length("term") + MAX_EDITS)))
+    known = vocabulary.filter(F.col("df") >= LEAST_DF).select(F.col("term").alias("word"), "df", F.substring("term", 1, PREFIX).alias("head"), F.length("term").alias("n"))
+    near = asked.join(known, ["head", "n"]).filter((F.levenshtein("term", "word", 2 * MAX_EDITS) >= 0) & (F.col("term") != F.col("word")))
     close = near.withColumn("edits", osa_distance("term", "word")).filter(F.col("edits") <= MAX_EDITS)
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("df"), "word"))
     return close.withColumn("place", place).filter("place = 1").select("term", F.col("word").alias("best"), "df")

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Queries, and rows, that meet in one task.
-QUERY_BLOCK, ROW_BLOCK = 512, 50_000
+#: Queries, and rows, that meet in one task; the table is dealt out once for each block of queries.
+QUERY_BLOCK, ROW_BLOCK = 8192, 50_000
+#: Queries compared with the rows at a time.
+STEP = 256
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, *, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -29,12 +31,18 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, *, k: int, key: str = "ve
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"q": [], "id": [], "cosine": []})
-        ids, asked = b["id"].to_numpy(), a["q"].to_numpy()
-        close = _unit(a["v"]) @ _unit(b["v"]).T
-        close[asked[:, None] == ids[None, :]] = -3
-        order = np.lexsort((np.broadcast_to(ids, close.shape), -np.round(close, 6)))[:, :k]
-        best = np.take_along_axis(close, order, 1)
-        out = pd.DataFrame({"q": np.repeat(asked, best.shape[1]), "id": ids[order].ravel(), "cosine": best.ravel()})
+        ids, rows = b["id"].to_numpy(), _unit(b["v"])
+        parts = []
+        for first in range(0, len(a), STEP):
+            asked = a["q"].iloc[first : first + STEP].to_numpy()
+            close = np.round(_unit(a["v"].iloc[first : first + STEP]) @ rows.T, 12)
+            close[asked[:, None] == ids[None, :]] = -3
+            least = np.partition(np.round(close, 6), max(0, close.shape[1] - k), axis=1)[:, max(0, close.shape[1] - k)]
+            for q, values, last in zip(asked.tolist(), close, least, strict=True):
+                top = np.flatnonzero(np.round(values, 6) >= last)  # all that are as similar as the last
+                top = top[np.lexsort((ids[top], -np.round(values[top], 6)))][:k]
+                parts.append(pd.DataFrame({"q": q, "id": ids[top], "cosine": values[top]}))
+        out = pd.concat(parts)
         return out[out["cosine"] > -2]
 
     kind = queries.schema[key].dataType.simpleString()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
@@ -57,16 +57,15 @@ def build(docs: DataFrame, *, key: str, text: str = "text", folder: str | None =
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/index-{uuid4().hex}"
-    seen = Observation()
     listed = docs.select(F.col(key).alias("key"), t.tokens(text).alias("list")).withColumn("doc_len", F.coalesce(F.size("list"), F.lit(0)))
-    listed = listed.observe(seen, F.count(F.lit(1)).alias("docs"), F.sum("doc_len").alias("all"))
     rows = exploded(listed, "key", "doc_len", terms="list").withColumn("bucket", _bucket("term", F.pmod(F.xxhash64("key"), F.lit(SHARDS))))
     counted = rows.repartition("bucket").groupBy("bucket", "term", "key", "doc_len").agg(F.count("*").alias("tf"))
     counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.schema(f"term string, key {docs.schema[key].dataType.simpleString()}, doc_len int, tf long, bucket int").parquet(f"{folder}/postings")
     postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.parquet(f"{folder}/terms")
-    n = seen.get["docs"]
-    return Index(postings, spark.read.schema("term string, df long, cf long").parquet(f"{folder}/terms"), n, (seen.get["all"] or 0) / n if n else 0.0)
+    terms = spark.read.schema("term string, df long, cf long").parquet(f"{folder}/terms")
+    n = docs.count()  # reads no text
+    return Index(postings, terms, n, (terms.agg(F.sum("cf")).first()[0] or 0) / n if n else 0.0)
 
 
 _kept: dict[tuple, Index] = {}

@@ -119,7 +119,7 @@ def rank_mention_penalty(spark, folder):
 
 def _asked_snapshots(spark, folder):
     """Snapshots by how many of the question's terms their text has, with heading and offset."""
-    rows = table(spark, folder, "snapshots", "passage_id", "heading_path", "start_offset", "text").filter("text IS NOT NULL").distinct()
+    rows = table(spark, folder, "snapshots", "passage_id", "heading_path", "start_offset", "text").filter("text IS NOT NULL").dropDuplicates(["passage_id"])
     asked = index.exploded(_asked(spark, folder), "turn_id", "q", terms=F.array_distinct(t.tokens("q")))
     held = index.exploded(rows, "passage_id", terms=F.array_distinct(t.tokens("text")))
     hits = asked.join(held, "term").groupBy("turn_id", "q", "passage_id").agg(F.count("*").alias("score"))

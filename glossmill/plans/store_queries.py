@@ -219,7 +219,7 @@ def chunk_passages(spark, folder):
 
 def html_text(spark, folder):
     """Snapshots rendered as pages and read back to text."""
-    rows = table(spark, folder, "snapshots", "passage_id", "title", "text").filter("passage_id IS NOT NULL AND text IS NOT NULL").distinct()
+    rows = table(spark, folder, "snapshots", "passage_id", "title", "text").filter("passage_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["passage_id"])
     page = extract.render_page(F.coalesce("title", F.lit("")), F.col("text"))
     return rows.select("passage_id", F.md5(extract.page_text(page)).alias("text_md5"))
 
@@ -246,9 +246,33 @@ def budget_scaled(spark, folder):
 
 
 def cycle_script(spark, folder):
-    """Lessons dealt to the 8 routes of a script in turn."""
-    rows = table(spark, folder, "lessons", "lesson_id", "started_at").groupBy("lesson_id").agg(F.min("started_at").alias("at"))
-    return rows.select("lesson_id", F.pmod(F.conv(F.substring(F.md5("lesson_id"), 1, 6), 16, 10).cast("long"), F.lit(8)).alias("slot"))
+    """Lessons in the order of their start dealt to the 8 routes of a script in turn: numbered by day, behind the lessons of the days before."""
+    rows = table(spark, folder, "lessons", "lesson_id", "started_at").groupBy("lesson_id").agg(F.min("started_at").alias("at")).withColumn("day", F.to_date("at"))
+    days = rows.groupBy("day").agg(F.count("*").alias("n"))  # a row a day: its window has no partitions
+    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col("day").alias("of"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy("at", "lesson_id")) - 1
+    numbered = rows.withColumn("place", place).join(days, F.col("day").eqNullSafe(F.col("of")))
+    return numbered.select("lesson_id", ((F.col("before") + F.col("place")) % 8).cast("long").alias("slot"))
+
+
+def event_checks(spark, folder):
+    """The arguments of each event checked as those of a call are, by the first rule that fails."""
+    known, k = ("click", "view", "purchase", "signup"), F.get_json_object("props", "$.k")
+    verdict = (
+        F.when(~F.coalesce(F.col("event_type").isin(*known), F.lit(False)), "unknown_name").when(F.col("props").isNull() | ~F.col("props").rlike(r"^\s*\{.*\}\s*$"), "not_an_object")
+        .when(k.isNull(), "missing_k").when(~k.rlike(r"^-?\d+$"), "wrong_type").when(~k.cast("double").between(0, 50), "out_of_range").otherwise("ok")
+    )
+    return table(spark, folder, "events", "event_type", "props").groupBy(F.col("event_type"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def response_class(spark, folder):
+    """What answers are made of: none, a call written out as text, code, a table, a list, or prose."""
+    kind = (
+        F.when(F.trim("a") == "", "none").when(F.col("a").rlike(r"(?s)^\s*\{.*\"(name|arguments)\".*\}\s*$"), "call").when(F.contains("a", F.lit("```")), "code")
+        .when(F.col("a").rlike(r"(?m)^\|.*\|$"), "table").when(F.col("a").rlike(r"(?m)^([-*•]|\d+[.)]) "), "list").otherwise("prose")
+    )
+    return answers(spark, folder).groupBy(kind.alias("kind")).agg(F.count("*").alias("turns"), F.sum(F.length("a")).alias("chars"))
 
 
 def json_salvage(spark, folder):
@@ -299,7 +323,7 @@ QUERIES = {f.__name__: f for f in (
     snapshot_upsert, turns_with_seq, turn_reduce, conv_tokens, token_growth, evict_turns, first_seen_vs_pointer, relabel, resolve_citations, dangling_calls,
     repetition_runs, turn_rollup, answer_rollup, toolcall_summary, micro_backed_rate, percentiles, nearest_p95, gate_verdict, route_sources, latest_version,
     catalog_plan, backfill_verify, scan_articles, section_tree, resolve_redirects, key_fact_runs, chunk_passages, html_text, internal_links, calc,
-    budget_scaled, cycle_script, json_salvage, events_props_json, sse_parse, events_tumbling, events_sliding, events_session,
+    budget_scaled, cycle_script, event_checks, response_class, json_salvage, events_props_json, sse_parse, events_tumbling, events_sliding, events_session,
 )}
 
 _T = "(SELECT DISTINCT {} FROM turn_records)"
@@ -313,7 +337,9 @@ SQL = {
           SELECT passage_id, arg_max({archive_id: archive_id, start_offset: start_offset, end_offset: end_offset, text: text}, coalesce(created_at, TIMESTAMP '1900-01-01')) AS v, min(created_at) AS created_at
           FROM snapshots WHERE passage_id IS NOT NULL GROUP BY passage_id)""",
     "turns_with_seq": f"""SELECT turn_id, lesson_id, started_at, CAST(row_number() OVER (PARTITION BY lesson_id ORDER BY started_at NULLS FIRST, turn_id) - 1 AS INTEGER) AS seq FROM {_T.format('turn_id, lesson_id, started_at')} WHERE lesson_id IS NOT NULL""",
-    "turn_reduce": "SELECT turn_id, min(ttft_s) AS ttft_s, max(status) AS status, max(tokens_used) AS tokens_used, max(calc_calls) AS calc_calls, max(logged_at) AS logged_at FROM turn_records GROUP BY turn_id",
+    "turn_reduce": """
+        WITH o AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY logged_at DESC NULLS LAST, status DESC NULLS LAST) AS i FROM turn_records)
+        SELECT turn_id, min(ttft_s) AS ttft_s, max(status) FILTER (WHERE i = 1) AS status, max(tokens_used) AS tokens_used, max(calc_calls) AS calc_calls, max(logged_at) AS logged_at FROM o GROUP BY turn_id""",
     "conv_tokens": f"SELECT lesson_id, count(*) AS turns, CAST(sum(tokens_used) AS BIGINT) AS tokens, round(avg(CASE WHEN tokens_used > 0 THEN cached_tokens / tokens_used END), 6) AS cached_share FROM {_T.format('turn_id, lesson_id, tokens_used, cached_tokens')} GROUP BY lesson_id",
     "token_growth": f"""SELECT turn_id, CAST(sum(tokens_used) OVER w AS BIGINT) AS tokens, max(tokens_used) OVER w AS largest FROM {_T.format('turn_id, lesson_id, turn_index, tokens_used')} WHERE lesson_id IS NOT NULL
         WINDOW w AS (PARTITION BY lesson_id ORDER BY turn_index NULLS FIRST, turn_id ROWS UNBOUNDED PRECEDING)""",
@@ -391,7 +417,17 @@ SQL = {
         WITH c AS (SELECT lesson_id, CAST(coalesce(max(tokens_used), 0) + 8000 AS BIGINT) AS ceiling FROM {_T.format('turn_id, lesson_id, tokens_used')} GROUP BY lesson_id),
              h AS (SELECT *, CAST(floor(greatest(ceiling - 6500, 0) * (CAST(21038 AS DOUBLE) / 26268)) AS BIGINT) AS history FROM c)
         SELECT lesson_id, ceiling, history, greatest(ceiling - 6500, 0) - history AS margin FROM h""",
-    "cycle_script": "SELECT DISTINCT lesson_id, CAST(CAST('0x' || substring(md5(lesson_id), 1, 6) AS BIGINT) % 8 AS BIGINT) AS slot FROM lessons",
+    "cycle_script": """
+        SELECT lesson_id, CAST((row_number() OVER (ORDER BY CAST(began AS DATE) NULLS FIRST, began NULLS FIRST, lesson_id NULLS FIRST) - 1) % 8 AS BIGINT) AS slot
+        FROM (SELECT lesson_id, min(started_at) AS began FROM lessons GROUP BY lesson_id)""",
+    "event_checks": r"""
+        WITH e AS (SELECT event_type, props, json_extract_string(props, '$.k') AS k FROM events)
+        SELECT event_type, CASE WHEN NOT coalesce(event_type IN ('click', 'view', 'purchase', 'signup'), false) THEN 'unknown_name' WHEN props IS NULL OR NOT regexp_matches(props, '^\s*\{.*\}\s*$') THEN 'not_an_object'
+               WHEN k IS NULL THEN 'missing_k' WHEN NOT regexp_matches(k, '^-?\d+$') THEN 'wrong_type' WHEN NOT (CAST(k AS DOUBLE) BETWEEN 0 AND 50) THEN 'out_of_range' ELSE 'ok' END AS verdict, count(*) AS n FROM e GROUP BY ALL""",
+    "response_class": r"""
+        SELECT CASE WHEN trim(a, ' ') = '' THEN 'none' WHEN regexp_matches(a, '^\s*\{.*"(name|arguments)".*\}\s*$', 's') THEN 'call' WHEN contains(a, '```') THEN 'code'
+                    WHEN regexp_matches(a, '(?m)^\|.*\|$') THEN 'table' WHEN regexp_matches(a, '(?m)^([-*•]|\d+[.)]) ') THEN 'list' ELSE 'prose' END AS kind, count(*) AS turns, CAST(sum(length(a)) AS BIGINT) AS chars
+        FROM (SELECT DISTINCT turn_id, answer_text AS a FROM turn_records WHERE answer_text IS NOT NULL) GROUP BY ALL""",
     "json_salvage": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "events_props_json": "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "sse_parse": "SELECT event_id, event_type AS name, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",

@@ -14,12 +14,12 @@ from glossmill.sources.tables import table
 def questions(spark: SparkSession, folder: str) -> DataFrame:
     """(turn_id, q, subject): the question of each turn that has one."""
     turns = table(spark, folder, "turn_records", "turn_id", "input_text", "subject").filter("trim(input_text) <> ''")
-    return turns.select("turn_id", F.col("input_text").alias("q"), "subject").distinct()
+    return turns.select("turn_id", F.col("input_text").alias("q"), "subject").dropDuplicates(["turn_id"])  # logged again, a turn is the same
 
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "turn_records", "turn_id", "answer_text").filter("answer_text IS NOT NULL")
-    return turns.select("turn_id", F.col("answer_text").alias("a")).distinct()
+    return turns.select("turn_id", F.col("answer_text").alias("a")).dropDuplicates(["turn_id"])
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
