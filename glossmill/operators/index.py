@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.functions import text as t
-from glossmill.session import shared_folder
+from glossmill.session import cut, shared_folder
 
 K1, B = 1.2, 0.75
 #: Scores are rounded to so many digits before they are ranked, so that the order of summing doesn't matter.
 DIGITS = 6
 #: Buckets of an index, and those that the postings of one term are dealt to.
 BUCKETS, SHARDS = 64, 4
-#: Ids of a pool of candidates are broadcast up to so many; beyond it texts are shuffled to them.
+#: Ids of a pool of candidates, and terms asked for, are broadcast up to so many; beyond it texts and postings are shuffled.
 POOL_ROWS = 500_000
 
 
@@ -88,7 +88,9 @@ def search(queries: DataFrame, index: Index, *, query: str, query_text: str, key
     asked = exploded(queries, query, terms=t.tokens(query_text)).groupBy(query, "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
     idf = F.greatest(F.lit(0.0), F.log(1 + (F.lit(index.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     asked = asked.select(query, "term", (F.col("qtf") * idf).alias("weight")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long"))))
-    asked = asked.withColumn("bucket", _bucket("term", F.col("shard"))).drop("shard").distinct()
+    asked = cut(asked.withColumn("bucket", _bucket("term", F.col("shard"))).drop("shard").distinct())
+    if asked.limit(POOL_ROWS + 1).count() <= POOL_ROWS:  # postings stay where they are read, and only the asked buckets are
+        asked = F.broadcast(asked)
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(index.mean)))
     scored = index.postings.join(asked, ["bucket", "term"]).select(query, F.col("key").alias(key), (F.col("weight") * saturated).alias("part"))
     return scored.groupBy(query, key).agg(F.round(F.sum("part"), DIGITS).alias("score")).filter("score > 0")
