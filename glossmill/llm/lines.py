@@ -40,7 +40,7 @@ BANDS, ROWS = 5, 3
 THINNED = 4
 #: Share of common runs from which lines are near-duplicates.
 SIMILAR = 0.8
-#: Forms of a bucket that lead clusters in each round.
+#: Forms of a bucket that lead clusters in the first round; twice as many in each further one.
 LEADERS = 16
 #: A table of frequent keys is broadcast up to so many rows of about 50 bytes; beyond it the join is salted.
 BROADCAST_ROWS, SALTS = 200_000, 32
@@ -188,22 +188,20 @@ def similar_lines(snapshots: DataFrame, *, least: int = PASSAGES, similar: float
     Numbers, dates, marks and names are masked. In each frequent bucket the LEADERS
     forms that most passages hold lead clusters; each form belongs to the first of
     them that it shares at least `similar` of its runs of letters with. The others are
-    clustered again, by the commonest of them within finer buckets, made of one band
-    more each time, so that there are at most BANDS rounds however full a bucket is. A line in clusters of
+    clustered again in the same bucket, by twice as many of the commonest of them each
+    time, until no bucket has forms left that so many passages hold together: a leader
+    belongs to its own cluster, so each round takes some, and no form is left out. A line in clusters of
     several buckets counts with the one that most passages hold. Nulls as in
     repeated_lines(). No pairs of lines are made, only pairs of a form and its bucket's.
     """
     rest = frequent_clusters(cut(hashed_lines(snapshots, names=True)), least)
-    found = None
-    for band in range(BANDS):
-        rest = cut(rest)
-        if rest.isEmpty():
-            break
+    found, most = None, LEADERS
+    while not (rest := cut(rest)).isEmpty():
         # by (bucket, form, passage), then by (bucket, form), then by bucket
         forms = rest.groupBy(*_BUCKET, "form", "form2", "passage_id").agg(F.first("letters").alias("letters"))
         forms = cut(forms.groupBy(*_BUCKET, "form", "form2").agg(F.count("*").alias("n"), F.min("letters").alias("letters")))
         place = F.row_number().over(Window.partitionBy(*_BUCKET).orderBy(F.desc("n"), "form", "form2"))
-        leaders = forms.withColumn("place", place).filter(F.col("place") <= LEADERS)
+        leaders = forms.withColumn("place", place).filter(F.col("place") <= most)
         leaders = cut(leaders.select(*_BUCKET, "place", F.col("form").alias("cluster"), F.col("letters").alias("of")))
         pairs = _within(forms, leaders, _BUCKET, "form")
         alike = cut(_alike(pairs.select(*_BUCKET, "form", "form2", "cluster", "place", "letters", "of"), similar))
@@ -212,7 +210,7 @@ def similar_lines(snapshots: DataFrame, *, least: int = PASSAGES, similar: float
         part = cut(_within(keyed, cut(held), [*_BUCKET, "cluster"]).select("archive_id", "passage_id", "line_no", "cluster", "passages"))
         found = part if found is None else found.unionByName(part)
         left = rest.join(alike.drop("cluster"), [*_BUCKET, "form", "form2"], "left_anti")
-        left = left.withColumn("bucket", F.xxhash64("bucket", F.col("buckets")[band]))
+        most *= 2
         rest = _within(left, cut(_held(left, _BUCKET, least).drop("passages")), _BUCKET)
     if found is None:
         return rest.select("archive_id", "passage_id", "line_no", F.col("form").alias("cluster"), F.lit(0).cast("long").alias("passages"))
